@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shabdagrid.llm import components, format_copies, splitting, visual_form
+from shabdagrid.llm import components, encoding, format_copies, packing, splitting, visual_form
 from shabdagrid.session import table
 
 
@@ -59,8 +59,19 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(t, "page_content").select("chunk_id", "piece_no", "n_pieces", "piece_start", "piece", "metadata")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every document by byte_bpe_50k."""
+    return encoding.encode_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of 2,048 tokens of every document, or of every piece of one that alone exceeds it."""
+    counted = encoding.count_tokens(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(counted, "doc_id", "n_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces)
+    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p7_ids, p8_containers)
 }
 ORACLE: dict[str, str] = {
     "p3_found": """
