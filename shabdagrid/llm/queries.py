@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shabdagrid.llm import components, encoding, format_copies, packing, splitting, visual_form
+from shabdagrid.llm import components, encoding, format_copies, packing, splitting, stuffing, visual_form
 from shabdagrid.session import table
 
 
@@ -70,8 +70,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(counted, "doc_id", "n_tokens")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are keywords, links, tags or items for the most part."""
+    return p9_pages(spark, d).where("stuffed").select("doc_id")
+
+
+def p9_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Measures and judgement of every document of some length."""
+    return stuffing.judge_pages(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p7_ids, p8_containers)
+    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p7_ids, p8_containers, p9_found, p9_pages)
 }
 ORACLE: dict[str, str] = {
     "p3_found": """
