@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shabdagrid.llm import components, encoding, format_copies, packing, splitting, stuffing, visual_form
+from shabdagrid.llm import components, encoding, format_copies, name_variants, packing, splitting, stuffing, visual_form
 from shabdagrid.session import table
 
 
@@ -59,6 +59,26 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(t, "page_content").select("chunk_id", "piece_no", "n_pieces", "piece_start", "piece", "metadata")
 
 
+# Relations whose object is a person.
+PERSON_RELATIONS = (
+    "has_father has_mother has_son has_daughter has_brother has_sister has_spouse is_disciple_of is_guru_of is_purohita_of fought allied_with"
+).split()
+
+
+def p6_names(spark: SparkSession, d: str) -> DataFrame:
+    """The person of every typed name that has a family name."""
+    typed = table(spark, d, "kg_seed").where("origin = 'typed'")
+    names = typed.select(F.col("subject").alias("name")).unionByName(
+        typed.where(F.col("relation").isin(PERSON_RELATIONS)).select(F.col("object").alias("name"))
+    )
+    return name_variants.link_names(names, table(spark, d, "proper_noun"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every two different spellings of one person."""
+    return name_variants.spelling_pairs(p6_names(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return encoding.encode_texts(table(spark, d, "documents"), "doc_id", "text")
@@ -81,7 +101,7 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p7_ids, p8_containers, p9_found, p9_pages)
+    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p6_found, p6_names, p7_ids, p8_containers, p9_found, p9_pages)
 }
 ORACLE: dict[str, str] = {
     "p3_found": """
