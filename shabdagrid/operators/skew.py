@@ -70,3 +70,10 @@ def lookup(df: DataFrame, key: str, right: DataFrame, right_key: str, values: li
     found = pairs.join(right.select(F.col(right_key).alias("_k"), *values), "_k")
     out = salted.join(found, (salted[key] == found["_k"]) & (salted["_salt"] == found["_s"]), how)
     return out.drop("_k", "_s", "_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as the cluster has cores: small rows that cost much Python time would otherwise be
+    coalesced by size into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
