@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shabdagrid.llm import components, encoding, format_copies, name_variants, packing, splitting, stuffing, visual_form
+from shabdagrid.llm import components, encoding, format_copies, fusion, name_variants, packing, splitting, stuffing, visual_form
 from shabdagrid.session import table
 
 
@@ -59,6 +59,16 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(t, "page_content").select("chunk_id", "piece_no", "n_pieces", "piece_start", "piece", "metadata")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The fact from which the survivor of every duplicate group takes each field."""
+    return fusion.survivors(table(spark, d, "kg_dup_member"), table(spark, d, "kg_seed")).select("group_id", "field_name", "fact_id")
+
+
+def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One surviving record per duplicate group."""
+    return fusion.survivor_records(table(spark, d, "kg_dup_member"), table(spark, d, "kg_seed"))
+
+
 # Relations whose object is a person.
 PERSON_RELATIONS = (
     "has_father has_mother has_son has_daughter has_brother has_sister has_spouse is_disciple_of is_guru_of is_purohita_of fought allied_with"
@@ -101,7 +111,7 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p6_found, p6_names, p7_ids, p8_containers, p9_found, p9_pages)
+    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p5_found, p5_survivors, p6_found, p6_names, p7_ids, p8_containers, p9_found, p9_pages)
 }
 ORACLE: dict[str, str] = {
     "p3_found": """
@@ -110,5 +120,20 @@ WITH RECURSIVE e AS (
 ), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON r.w = u.a)
 SELECT min(w) AS group_name, v AS name FROM r GROUP BY v HAVING min(w) <> v""",
+    "p5_found": """
+WITH m AS (
+  SELECT DISTINCT d.group_id, k.fact_id, k.added_at, k.object, k.citation, k.note, k.provenance,
+    CASE regexp_replace(lower(k.provenance), '[^a-z]', '', 'g') WHEN 'authoritative' THEN 3 WHEN 'itihasa' THEN 2 WHEN 'inferred' THEN 1 ELSE 0 END AS trust
+  FROM kg_dup_member d JOIN kg_seed k USING (fact_id)
+), v AS (
+  SELECT group_id, fact_id, added_at, trust, 'object' AS field_name, object AS value FROM m
+  UNION ALL SELECT group_id, fact_id, added_at, trust, 'citation', citation FROM m
+  UNION ALL SELECT group_id, fact_id, added_at, trust, 'note', note FROM m
+  UNION ALL SELECT group_id, fact_id, added_at, trust, 'provenance', provenance FROM m
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust DESC, added_at DESC NULLS LAST, fact_id) AS r FROM v
+  WHERE value IS NOT NULL AND lower(trim(value)) NOT IN ('', '-', '—', '?', '...', 'n/a', 'unknown', 'unknown.', 'none', 'null', 'tbd', 'not given')
+)
+SELECT group_id, field_name, fact_id FROM w WHERE r = 1""",
     "p4_found": "SELECT chunk_id FROM chunk WHERE length(page_content) > 512",
 }
