@@ -36,8 +36,8 @@ FUNCTION_WORDS = (
     "those to us was we were what when where whether which while who whose why will with would you your"
 )
 LINK = (
-    r"<[a-z]+\s+href=[^>\s]*|(?:https?://|www\.)\S+|#[\p{L}\p{N}_][\p{L}\p{M}\p{N}_]*"
-    r"|\b[a-z0-9][a-z0-9-]{0,62}(?:\.[a-z0-9-]{1,63})*\.[a-z]{3,}\b(?:/\S*)?|</?[a-z]+>?"
+    r"<[a-z]++\s++href=[^>\s]*+|</?[a-z]++>|(?:https?://|www\.)\S++|#[\p{L}\p{N}_][\p{L}\p{M}\p{N}_]*+"
+    r"|(?<![a-z0-9.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++(?<=\.[a-z]{3,24})(?:/\S*+)?"
 )
 MARK = "\u0001"
 
@@ -46,23 +46,23 @@ def page_measures(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """One row per page with at least one token: tokens n, language class and the points (f, c) of its curve."""
     plain = F.regexp_replace(F.lower(F.col(text).cast("string")), LINK, f" {MARK} ")
     words = F.array_remove(F.split(plain, rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}‌‍]+"), "")
-    t = df.select(id_col, words.alias("w")).where(F.size("w") > 0)
-    joined = F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" "))
-    function = "|".join(FUNCTION_WORDS.split())
-    count = lambda c, rx: F.regexp_count(c, F.lit(rx))
-    t = t.withColumn("_j", joined).select(
+    # No filter on empty pages here: it would be pushed below the projection and compute the words twice; explode drops them.
+    t = df.select(id_col, words.alias("w"))
+    among = lambda test: F.size(F.filter("w", test)).cast("long")
+    latin = lambda x: ((x >= "a") & (x < "\u0250")) | ((x >= "\u1e00") & (x < "\u1f00"))
+    t = t.select(
         id_col,
         F.sort_array("w").alias("w"),
         F.size("w").cast("long").alias("n"),
-        count(F.col("_j"), f" (?:{function}) ").cast("long").alias("n_function"),
-        count(F.col("_j"), MARK).cast("long").alias("n_link"),
-        count(F.col("_j"), r" [ऀ-ॿ]").cast("long").alias("n_deva"),
-        count(F.col("_j"), r" [^ ]*[āīūṛṣśṇṭḍṃḥ]").cast("long").alias("n_iast"),
-        count(F.col("_j"), r" [a-zÀ-ɏḀ-ỿ]").cast("long").alias("n_latin"),
+        among(lambda x: x.isin(FUNCTION_WORDS.split())).alias("n_function"),
+        among(lambda x: x == MARK).alias("n_link"),
+        among(lambda x: (x >= "\u0900") & (x < "\u0980")).alias("n_deva"),
+        among(lambda x: latin(x) & (F.octet_length(x) > F.length(x))).alias("n_iast"),
+        among(latin).alias("n_latin"),
     )
-    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    starts = F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: (i == 0) | ~F.get("w", i).eqNullSafe(F.get("w", i - 1)))
     t = t.withColumn("_s", starts)
-    runs = F.transform(F.sequence(F.lit(0), F.size("_s") - 1), lambda j: F.coalesce(F.get("_s", j + 1), F.size("w")) - F.get("_s", j))
+    runs = F.zip_with(F.slice("_s", 1, F.size("_s") - 1), F.slice("_s", 2, F.size("_s")), lambda a, b: b - a)
     return t.select(id_col, "n", "n_function", "n_link", language().alias("language"), F.explode(runs).alias("f")).groupBy(
         id_col, "n", "n_function", "n_link", "language", "f"
     ).agg(F.count(F.lit(1)).alias("c"))
