@@ -107,7 +107,8 @@ def _per_distinct(fold_case: bool):
             forms = {t: consistent_form(t, fold_case) for t in s.dropna().unique()}
             yield s.map(forms, na_action="ignore")
 
-    return F.pandas_udf(run, T.StringType())
+    # Not declared deterministic, or a filter on the result would compute it a second time below.
+    return F.pandas_udf(run, T.StringType()).asNondeterministic()
 
 
 def with_consistent_form(df: DataFrame, text: str, out: str, fold_case: bool = False) -> DataFrame:
