@@ -48,7 +48,7 @@ def stripped(c: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+        yield pd.Series([t if t is None else unicodedata.normalize("NFC", t) for t in s], dtype=object)
 
 
 def word_key(fields: list[str]) -> Column:

@@ -51,23 +51,23 @@ def split_items(df: DataFrame, text: str, size: int = SIZE, overlap: int = OVERL
     t = F.col(text).cast("string")
     cores = F.when(F.length(t) <= size, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(split_pattern(size, overlap)), F.lit(0)))
     ends = F.aggregate(
-        F.col("_cores"),
+        F.col("__split_cores"),
         F.array(F.lit(0)),
         lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))),
     )
-    made = df.where(t.isNotNull()).withColumn("_cores", cores).withColumn("_ends", ends)
+    made = df.where(t.isNotNull()).withColumn("__split_cores", cores).withColumn("__split_ends", ends)
     spans = F.transform(
-        F.sequence(F.lit(1), F.size("_cores")),
+        F.sequence(F.lit(1), F.size("__split_cores")),
         lambda i: F.struct(
             (i - 1).alias("no"),
-            F.greatest(F.lit(0), F.element_at("_ends", i) - F.when(i > 1, overlap).otherwise(0)).alias("start"),
-            F.element_at("_ends", i + 1).alias("end"),
+            F.greatest(F.lit(0), F.element_at("__split_ends", i) - F.when(i > 1, overlap).otherwise(0)).alias("start"),
+            F.element_at("__split_ends", i + 1).alias("end"),
         ),
     )
-    rows = made.withColumn("n_pieces", F.size("_cores")).withColumn("_s", F.explode(spans))
+    rows = made.withColumn("n_pieces", F.size("__split_cores")).withColumn("__split_span", F.explode(spans))
     return (
-        rows.withColumn("piece_no", F.col("_s.no"))
-        .withColumn("piece_start", F.col("_s.start"))
-        .withColumn(piece, F.substring(t, F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")))
-        .drop("_cores", "_ends", "_s")
+        rows.withColumn("piece_no", F.col("__split_span.no"))
+        .withColumn("piece_start", F.col("__split_span.start"))
+        .withColumn(piece, F.substring(t, F.col("__split_span.start") + 1, F.col("__split_span.end") - F.col("__split_span.start")))
+        .drop("__split_cores", "__split_ends", "__split_span")
     )

@@ -47,7 +47,8 @@ _PICTO = "[☀-➿\U0001f000-\U0001faff\ufe0f]"
 _KEPT_JOINER = re.compile(f"(?<=[{VIRAMAS}])[\u200c\u200d](?=[ऀ-ൿ])|(?<={_PICTO})\u200d(?={_PICTO})")
 _KEPT = {"\u200c": "\ue000", "\u200d": "\ue001"}
 _SPACES = re.compile(r" {2,}")
-_FOREIGN_WORD = re.compile(r"[^\W\d_]*[Ͱ-ϿЀ-ԯ][^\W\d_]*(?:[\u0300-\u036f][^\W\d_]*)*")
+_WORD = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
+_FOREIGN = re.compile("[\u0370-\u052f]")
 
 
 @lru_cache(maxsize=1)
@@ -77,8 +78,8 @@ def _tables() -> tuple[dict[int, str], dict[int, str], dict[str, dict[int, str]]
 
 def _restore(m: re.Match) -> str:
     """A word with letters that only Greek or only Cyrillic has is written in that script throughout."""
-    first = next(c for c in m.group() if "Ͱ" <= c <= "ԯ")
-    return m.group().translate(_tables()[2]["g" if first < "Ѐ" else "c"])
+    first = _FOREIGN.search(m.group())
+    return m.group().translate(_tables()[2]["g" if first.group() < "\u0400" else "c"]) if first else m.group()
 
 
 def consistent_form(text: str, fold_case: bool = False) -> str:
@@ -93,10 +94,9 @@ def consistent_form(text: str, fold_case: bool = False) -> str:
     for mark, one in LOOK_ALIKE_MARKS.items():
         if len(mark) > 1 and mark in text:
             text = text.replace(mark, one)
-    text = unicodedata.normalize("NFC", text)
-    text = text.replace("\ue000", "\u200c").replace("\ue001", "\u200d")
-    if re.search("[Ͱ-ԯ]", text):
-        text = _FOREIGN_WORD.sub(_restore, text)
+    if _FOREIGN.search(text):
+        text = _WORD.sub(_restore, text)
+    text = unicodedata.normalize("NFC", text).replace("\ue000", "\u200c").replace("\ue001", "\u200d")
     text = _SPACES.sub(" ", text.replace("\n", " ").replace("\t", " ").replace("\r", " ")).strip(" ")
     return unicodedata.normalize("NFC", text.casefold()) if fold_case else text
 
@@ -105,7 +105,7 @@ def _per_distinct(fold_case: bool):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             forms = {t: consistent_form(t, fold_case) for t in s.dropna().unique()}
-            yield s.map(forms, na_action="ignore")
+            yield pd.Series([forms.get(t) for t in s], dtype=object)
 
     # Not declared deterministic, or a filter on the result would compute it a second time below.
     return F.pandas_udf(run, T.StringType()).asNondeterministic()
