@@ -40,7 +40,7 @@ NOT_NAMES = (
 def _bases() -> tuple[str, str]:
     """Precomposed letters and their base letters, from the Unicode decompositions."""
     src, dst = [], []
-    for cp in [*range(0xC0, 0x2000), *range(0xF900, 0xFB50)]:
+    for cp in [*range(0xC0, 0x2200), *range(0xF900, 0xFB50)]:
         d = unicodedata.normalize("NFD", chr(cp))
         if d != chr(cp) and unicodedata.category(d[0])[0] == "L":
             src.append(chr(cp))
@@ -180,7 +180,7 @@ def dictionary_key(c: Column) -> Column:
 def key_terms(definition: Column) -> Column:
     """First five words of five or more letters outside tags and brackets."""
     t = F.regexp_replace(F.regexp_replace(definition, "<[^>]+>", ""), r"\([^)]+\)", "")
-    ws = F.regexp_extract_all(t, F.lit(r"\b[a-zA-Z]{5,}\b"), F.lit(0))
+    ws = F.filter(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-zA-Z]{5,}$"))
     stop = ["which", "there", "their", "about", "other", "being", "having", "called", "often"]
     return F.slice(F.filter(ws, lambda w: ~F.lower(w).isin(stop)), 1, 5)
 

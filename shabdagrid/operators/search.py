@@ -96,7 +96,7 @@ def boost(hits: DataFrame, rules: list[tuple[Column, float]], score: str = "scor
     f = F.lit(1.0)
     for cond, factor in rules:
         f = f * F.when(cond, F.lit(factor)).otherwise(F.lit(1.0))
-    return hits.withColumn(score, F.round(F.col(score) * f, 6))
+    return hits.withColumn(score, F.col(score) * f)
 
 
 def script_rules(original: Column, translation: Column) -> list[tuple[Column, float]]:
@@ -116,7 +116,7 @@ COMPARATIVE = ["both", "compare", "comparison", "versus", "vs", "between", "earl
 def detect_sources(questions: DataFrame, question: str, patterns: dict[str, list[str]]) -> DataFrame:
     """questions with `sources` (those named as whole words, in the order of `patterns`) and `strict`: exactly one, no comparison."""
     q = F.lower(F.col(question))
-    named = [F.when(q.rlike(r"(?U)\b(?:" + "|".join(r"\Q" + p + r"\E" for p in ps) + r")\b"), F.lit(s)) for s, ps in patterns.items()]
+    named = [F.when(q.rlike(r"(?<![\p{L}\p{M}\p{N}_])(?:" + "|".join(r"\Q" + p + r"\E" for p in ps) + r")(?![\p{L}\p{M}\p{N}_])"), F.lit(s)) for s, ps in patterns.items()]
     compared = F.lit(False)
     for w in COMPARATIVE:
         compared = compared | q.contains(w)

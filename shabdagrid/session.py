@@ -27,6 +27,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver did, if the session was started without it on its path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship_package(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
