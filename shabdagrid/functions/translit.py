@@ -101,7 +101,8 @@ def _per_distinct(f, kind):
             done = {t: f(t) for t in s.dropna().unique()}
             yield pd.Series([done.get(t) for t in s], dtype=object)
 
-    return F.pandas_udf(run, kind)
+    # Not declared deterministic, or a filter on the result would compute it twice.
+    return F.pandas_udf(run, kind).asNondeterministic()
 
 
 def to_devanagari(c: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shabdagrid.operators.lexical import VERSE_ID, verse_lines
+from shabdagrid.operators.windows import running_count
 
 MAX_EXPAND, MAX_CHARS = 3, 6000
 
@@ -18,12 +19,12 @@ def verse_lookup(verses: DataFrame, corpus: str, path: list[int]) -> DataFrame:
     return verses.where(cond)
 
 
-def neighbour_window(rows: DataFrame, group: list[str], order: list[str], focus, before: int = 15, size: int = 30) -> DataFrame:
+def neighbour_window(rows: DataFrame, group: list[str], order: list[str], focus, before: int = 15, size: int = 30, block: Column | None = None) -> DataFrame:
     """Up to `size` rows of the group around every focus row, from `before` rows ahead of it (or the group's start).
 
     Result rows carry `focus_no`, the row number of their focus.
     """
-    r = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    r = running_count(rows, group, order, F.lit(True), "_n", before=True, block=block)
     f = r.where(focus).select(*group, F.col("_n").alias("focus_no"), F.greatest(F.lit(0), F.col("_n") - before).alias("_from"))
     cells = f.select(*group, "focus_no", F.explode(F.sequence(F.col("_from"), F.col("_from") + size - 1)).alias("_n"))
     return r.join(cells, [*group, "_n"]).withColumnRenamed("_n", "row_no")

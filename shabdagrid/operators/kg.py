@@ -5,7 +5,7 @@ An edge is identified by (subject_key, relation, object_key).  Facts carry `seq`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shabdagrid.functions.text import strip_accents
@@ -65,10 +65,10 @@ def edges(facts: DataFrame, seq: str) -> DataFrame:
         first.alias("_f"), cites.alias("_c"), F.max(trust(F.col("provenance"))).alias("trust"),
         F.min(F.struct((-trust(F.col("provenance"))).alias("t"), F.col(seq).alias("q"))).alias("_best"),
     )
-    w = Window.partitionBy("subject_key", "relation").orderBy("_best")
     single = F.col("relation").isin(SINGLETONS)
-    # only singleton relations are ranked: the window's partitions are bounded by the objects of one such relation
-    kept = g.where(~single).unionByName(g.where(single).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r"))
+    cols = [c for c in g.columns if c not in ("subject_key", "relation")]
+    one = g.where(single).groupBy("subject_key", "relation").agg(F.min_by(F.struct(*cols), "_best").alias("o")).select("subject_key", "relation", "o.*")
+    kept = g.where(~single).unionByName(one)
     return kept.select(
         "subject_key", F.col("_f.subject").alias("subject"), "relation", "object_key", F.col("_f.object").alias("object"),
         F.array_distinct(F.transform("_c", lambda x: x["citation"])).alias("citations"), "trust", F.col("_f.q").alias("first_seq"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shabdagrid.functions.text import search_key
+from shabdagrid.functions.translit import to_iast
 
 RARE_MIN, RARE_SHARE, RARE_TERMS = 50, 100, 6
 
@@ -91,16 +92,18 @@ def concordance(docs: DataFrame, text: str, terms: list[str], pos: list[str], li
     has = lambda c: F.lit(False) if not terms else F.col(c).rlike("|".join(r"\Q" + t + r"\E" for t in terms))
     v = verse_lines(docs.where(has(text)), text, pos, strict).where(has("line"))
     first = v.groupBy("corpus", "path", "vid").agg(F.min_by("line", F.struct(*pos, "_n")).alias("line"))
-    n = first.count() if limit is not None else None
-    out = first.withColumn("total", F.lit(n).cast("long") if n is not None else F.count(F.lit(1)).over(Window.partitionBy()))
+    # one row with the count, joined back: a window over everything would be one task
+    one = first.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
+    out = first.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
     return out if limit is None else out.orderBy("corpus", "path").limit(limit)
 
 
-def build_lexicon(docs: DataFrame, text: str, pattern: str = r"[\p{L}][\p{L}\p{M}]+", least: int = 3) -> DataFrame:
-    """(kind, key, tokens): search keys of all distinct tokens, and the same with sh as s."""
+def build_lexicon(docs: DataFrame, text: str, pattern: str = r"[\p{L}][\p{L}\p{M}]+", least: int = 3, romanise: bool = False) -> DataFrame:
+    """(kind, key, tokens): search keys of all distinct tokens, and the same with sh as s; Devanagari is romanised first if asked."""
     token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))))
     tokens = docs.select(token.alias("token")).where(F.length("token") >= least).distinct()
-    keyed = tokens.withColumn("key", search_key(F.col("token"))).where(F.length("key") >= least)
+    latin = to_iast(F.col("token")) if romanise else F.col("token")
+    keyed = tokens.withColumn("_latin", latin).withColumn("key", search_key(F.col("_latin"))).where(F.length("key") >= least)
     both = keyed.select(F.lit("primary").alias("kind"), "key", "token").unionByName(
         keyed.select(F.lit("skeleton").alias("kind"), F.replace("key", F.lit("sh"), F.lit("s")).alias("key"), "token")
     )

@@ -12,12 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shabdagrid.operators.windows import run_id, shifted_groups
+from shabdagrid.operators.windows import carry_forward, last_known, run_id, running_count, shifted_groups
 
-AV_ID = r"\(AVŚ?_(\d+),(\d+)\.(\d+)([a-z]*)\)\s*(.*)$"
+AV_ID = r"\(AV[ŚśSs]?\x{301}?_(\d+),(\d+)\.(\d+)([a-z]*)\)\s*(.*)$"
 PB_ID = r"^\(PB\s+(\d+)\.(\d+)\.(\d+)\)\s*(.*)$"
 SB_ID = r"^(\d+)\.(\d+)\.(\d+)\.(?:\[(\d+)\]|(\d+))\s*$"
-RV_ID = r"\|\|\s*(\d+)\.(\d+)\.(\d+)"
+RV_ID = r"\|\|\s*(\d+)\\?\.(\d+)\\?\.(\d+)"
 WORD_LINK = r"<a[^>]*>([^<]*)</a>"
 SEPARATORS = ["\n\n", "\n", "# ", "## "]
 
@@ -26,12 +26,20 @@ def _joined(c: str, order: str):
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, c))), lambda x: x[c]), " ")
 
 
+BLOCK_LINES = 50_000
+
+
+def line_block(size: int = BLOCK_LINES):
+    """Blocks of consecutive lines, for scans of long files."""
+    return F.floor(F.col("line_no") / size)
+
+
 def half_lines(lines: DataFrame) -> DataFrame:
     """(file, book, hymn, verse, text): consecutive half-lines of one id joined; end markers and bars out; longer than two characters."""
     t = F.trim("text")
     g = lambda n: F.regexp_extract(t, AV_ID, n)
     x = lines.where(t.rlike(AV_ID)).select("file", "line_no", *[g(i).cast("int").alias(n) for i, n in ((1, "book"), (2, "hymn"), (3, "verse"))], F.trim(g(5)).alias("half"))
-    r = run_id(x, ["file"], ["line_no"], F.concat_ws(".", "book", "hymn", "verse"))
+    r = run_id(x, ["file"], ["line_no"], F.concat_ws(".", "book", "hymn", "verse"), block=line_block())
     v = r.groupBy("file", "run", "book", "hymn", "verse").agg(_joined("half", "line_no").alias("t"))
     body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("t", r"\|+\s*\d+\s*\|*\s*$", ""), r"\|", " "), r"\s+", " "))
     return v.select("file", "run", "book", "hymn", "verse", body.alias("text")).where(F.length("text") > 2)
@@ -41,19 +49,20 @@ def closed_verses(lines: DataFrame) -> DataFrame:
     """(file, mandala, hymn, verse, text): lines buffered until one carries the id, cut at the last bars, accents marks out."""
     s = F.trim("text")
     x = lines.where((s != "") & ~s.rlike(r"^[%\\#]")).select("file", "line_no", s.alias("s"))
-    grp = shifted_groups(x, ["file"], ["line_no"], F.col("s").rlike(RV_ID))
+    grp = shifted_groups(x, ["file"], ["line_no"], F.col("s").rlike(RV_ID), block=line_block())
     v = grp.groupBy("file", "grp").agg(_joined("s", "line_no").alias("t"), F.max_by("s", "line_no").alias("last")).where(F.col("last").rlike(RV_ID))
     cut = F.regexp_replace(F.regexp_replace(F.regexp_extract("t", r"(?s)^(.*)\|\|", 1), r"[\\`']", ""), r"\s+", " ")
     ids = [F.regexp_extract("last", RV_ID, i).cast("int").alias(n) for i, n in ((1, "mandala"), (2, "hymn"), (3, "verse"))]
     return v.select("file", *ids, F.trim(cut).alias("text"))
 
 
-def headed_paragraphs(lines: DataFrame, book: int | None = None) -> DataFrame:
+def headed_paragraphs(lines: DataFrame, book: int | None = None, skip: str | None = None) -> DataFrame:
     """(file, book, adhyaya, brahmana, para, text): an id alone on a line opens a paragraph; bodies over ten characters; one book if asked."""
     t = F.trim("text")
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     x = lines.select("file", "line_no", t.alias("s"), F.when(t.rlike(SB_ID), t).alias("_id"))
-    x = x.withColumn("id", F.last("_id", True).over(w)).withColumn("run", F.count("_id").over(w)).where("_id is null and id is not null and s != ''")
+    x = last_known(x, ["file"], ["line_no"], "_id", "id", line_block())
+    x = running_count(x, ["file"], ["line_no"], F.col("_id").isNotNull(), "run", block=line_block()).where("_id is null and id is not null and s != ''")
+    x = x if skip is None else x.where(~F.col("s").rlike(skip))
     v = x.groupBy("file", "run", "id").agg(_joined("s", "line_no").alias("t"))
     n = lambda i: F.regexp_extract("id", SB_ID, i)
     v = v.select("file", n(1).cast("int").alias("book"), n(2).cast("int").alias("adhyaya"), n(3).cast("int").alias("brahmana"),
@@ -93,43 +102,46 @@ def latest_hymns(parsed: DataFrame) -> DataFrame:
     return v.groupBy("hymn_id").agg(F.max_by(F.struct(*cols), F.struct("mandala", "line_no")).alias("b")).select("hymn_id", "b.*")
 
 
-def html_text(pages: DataFrame, html: str, out: str = "text") -> DataFrame:
-    """pages with readable text: entities decoded, word links unwrapped, tags out, footer cut."""
+def html_text(pages: DataFrame, html: str, out: str = "text", skip: str | None = None) -> DataFrame:
+    """pages with readable text: entities decoded, word links unwrapped, tags out, footer cut, lines that match `skip` out."""
 
     @F.pandas_udf("string")
     def unescape(s: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else _html.unescape(x).replace("\xa0", " ") for x in s], dtype=object)
 
     t = F.regexp_replace(F.regexp_replace(unescape(F.col(html)), WORD_LINK, "$1 "), "<[^>]+>", " ")
-    return pages.withColumn(out, F.regexp_replace(F.split(F.regexp_replace(t, r"[ \t]+", " "), "This text is part of", 2)[0], "^ +| +$", ""))
+    body = F.split(F.regexp_replace(t, r"[ \t]+", " "), "This text is part of", 2)[0]
+    if skip:
+        body = F.regexp_replace(body, f"(?m)^.*(?:{skip}).*$", "")
+    return pages.withColumn(out, F.regexp_replace(body, "^ +| +$", ""))
 
 
-MARKERS = r"(Book|Chapter|Paragraph|Verse|Sentence):\s*(\d+)([a-z]?)"
+MARKERS = r"(Book|Chapter|Paragraph|Verse|Sentence):\s*(\d+|[a-z](?![a-z]))(?:=?([a-z])(?![a-z]))?"
 
 
-def marked_sentences(pages: DataFrame, file: str, order: str, text: str) -> DataFrame:
+def marked_sentences(pages: DataFrame, file: str, order: str, text: str, corpus: list[str] | None = None, needs: str = "verse") -> DataFrame:
     """(file, pos, book, chapter, paragraph, verse, sentence, letter, text) from pages with structural labels.
 
-    A sentence ends at the next label of any kind.  Book and chapter carry over to later files; a new higher level clears those below.
+    A sentence ends at the next label of any kind.  Book and chapter carry over to later files of the same `corpus`; a new higher level clears those below.
+    Files are the blocks of the scan, so a corpus of any size is read in parallel.
     """
-    from shabdagrid.operators.windows import carry_forward
-
+    group = corpus or []
     cells = F.split(F.col(text), rf"(?={MARKERS})")
-    m = pages.select(file, order, F.posexplode(cells).alias("pos", "cell"))
+    m = pages.select(*group, file, order, F.posexplode(cells).alias("pos", "cell"))
     g = lambda i: F.regexp_extract("cell", "(?s)^" + MARKERS + "(.*)$", i)
-    m = m.where(g(1) != "").select(file, order, "pos", F.lower(g(1)).alias("kind"), g(2).cast("int").alias("n"), g(3).alias("letter"), F.trim(F.regexp_replace(g(4), r"\s+", " ")).alias("body"))
+    m = m.where(g(1) != "").select(*group, file, order, "pos", F.lower(g(1)).alias("kind"), g(2).try_cast("int").alias("n"), F.when(g(2).rlike("[a-z]"), g(2)).otherwise(g(3)).alias("letter"), F.trim(F.regexp_replace(g(4), r"\s+", " ")).alias("body"))
     levels = ["book", "chapter", "paragraph", "verse"]
     for lv in levels:
         m = m.withColumn(lv, F.when(F.col("kind") == lv, F.col("n")))
-    filled = carry_forward(m, [], [order, "pos"], levels)
-    return filled.where("kind = 'sentence' and verse is not null and body != ''").select(file, order, "pos", *levels, F.col("n").alias("sentence"), "letter", F.col("body").alias("text"))
+    filled = carry_forward(m, group, [order, "pos"], levels, block=F.col(order))
+    return filled.where((F.col("kind") == "sentence") & F.col(needs).isNotNull() & (F.col("body") != "")).select(*group, file, order, "pos", *levels, F.col("n").alias("sentence"), "letter", F.col("body").alias("text"))
 
 
-def marked_verses(sentences: DataFrame, file: str, order: str) -> DataFrame:
+def marked_verses(sentences: DataFrame, file: str, order: str, corpus: list[str] | None = None) -> DataFrame:
     """Sentences of one verse joined in their order; longer than five characters."""
     levels = ["book", "chapter", "paragraph", "verse"]
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "pos", "text"))), lambda x: x["text"]), " ")
-    return sentences.groupBy(*levels).agg(F.min(file).alias(file), text.alias("text")).where(F.length("text") > 5)
+    return sentences.groupBy(*(corpus or []), *levels).agg(F.min(file).alias(file), text.alias("text")).where(F.length("text") > 5)
 
 
 def book_headers(docs: DataFrame, text: str) -> DataFrame:

@@ -145,8 +145,10 @@ def filter_source(hits: DataFrame, match: Column, strict: bool, pos: str = "pos"
 
 def union_variants(lists: DataFrame, variant: str, pos: str, content: str, prefix: int = 200) -> DataFrame:
     """First occurrence of every content over several result lists; contents with equal first characters count as one."""
-    w = Window.partitionBy(F.substring(F.col(content), 1, prefix)).orderBy(variant, pos)
-    return lists.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    key = F.substring(F.col(content), 1, prefix)
+    cols = [c for c in lists.columns if c not in (variant, pos)]
+    first = lists.groupBy(key.alias("_key")).agg(F.min(F.struct(variant, pos, *cols)).alias("f"))  # combined before the shuffle
+    return first.select(*[F.col(f"f.{c}") for c in lists.columns])
 
 
 def backfill(ranked: DataFrame, more: DataFrame, content: str, pos: str = "pos", prefix: int = 200) -> DataFrame:

@@ -1,60 +1,101 @@
-"""Order-aware operators over ordered rows: runs, forward fills, resetting counters, spans, files seen before."""
+"""Order-aware operators over ordered rows: runs, forward fills, resetting counters, spans, files seen before.
+
+A group (a file, a user) may hold a third of all rows.  Every operator therefore takes `block`, a column that is
+non-decreasing in the order, such as floor(line_no / 50000) or the day of a timestamp: rows are then scanned by (group,
+block) in parallel, one summary row per block is scanned by group, and what a block inherits from those before it is joined back on
+the same partitioning.  Without `block` a group is one window.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _w(group: list[str], order: list[str]):
-    return Window.partitionBy(*group).orderBy(*order)
+def _w(keys: list[str], order: list[str]):
+    return Window.partitionBy(*keys).orderBy(*order)
+
+
+def _join(df: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on null-safe keys; right has the same key names."""
+    r = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)])
+    return df.join(r, on, "left").drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def running_count(df: DataFrame, group: list[str], order: list[str], flag: Column, out: str, before: bool = False, block: Column | None = None) -> DataFrame:
+    """Number of rows up to this one (or before it) that are flagged."""
+    x = df.withColumn("__w_f", F.coalesce(flag.cast("long"), F.lit(0)))
+    end = -1 if before else 0
+    if block is None:
+        w = _w(group, order).rowsBetween(Window.unboundedPreceding, end)
+        return x.withColumn(out, F.coalesce(F.sum("__w_f").over(w), F.lit(0))).drop("__w_f")
+    x = x.withColumn("__w_b", block)
+    keys = [*group, "__w_b"]
+    x = x.withColumn("__w_n", F.coalesce(F.sum("__w_f").over(_w(keys, order).rowsBetween(Window.unboundedPreceding, end)), F.lit(0)))
+    prior = F.coalesce(F.sum("__w_t").over(_w(group, ["__w_b"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = x.groupBy(*keys).agg(F.sum("__w_f").alias("__w_t")).withColumn("__w_p", prior).drop("__w_t")
+    return _join(x, sums, keys).withColumn(out, F.col("__w_n") + F.coalesce("__w_p", F.lit(0))).drop("__w_f", "__w_b", "__w_n", "__w_p")
+
+
+def last_known(df: DataFrame, group: list[str], order: list[str], value: str, out: str, block: Column | None = None, before: bool = False) -> DataFrame:
+    """The last non-null value up to this row (or before it) in its group."""
+    end = -1 if before else 0
+    if block is None:
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(_w(group, order).rowsBetween(Window.unboundedPreceding, end)))
+    x = df.withColumn("__w_b", block)
+    keys = [*group, "__w_b"]
+    x = x.withColumn("__w_v", F.last(value, ignorenulls=True).over(_w(keys, order).rowsBetween(Window.unboundedPreceding, end)))
+    newest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
+    prior = F.last("__w_l", ignorenulls=True).over(_w(group, ["__w_b"]).rowsBetween(Window.unboundedPreceding, -1))
+    sums = x.groupBy(*keys).agg(newest.alias("__w_l")).withColumn("__w_p", prior).drop("__w_l")
+    return _join(x, sums, keys).withColumn(out, F.coalesce("__w_v", "__w_p")).drop("__w_b", "__w_v", "__w_p")
 
 
-def run_id(df: DataFrame, group: list[str], order: list[str], key: Column, out: str = "run") -> DataFrame:
+def run_id(df: DataFrame, group: list[str], order: list[str], key: Column, out: str = "run", block: Column | None = None) -> DataFrame:
     """Number of the run of equal keys a row belongs to; a key that returns later starts a new run.  Nulls equal nulls."""
-    w = _w(group, order)
-    change = F.when(F.lag(F.struct(key.alias("k")), 1).over(w).isNull() | ~F.lag(key).over(w).eqNullSafe(key), 1).otherwise(0)
-    return df.withColumn("_c", change).withColumn(out, F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+    x = last_known(df.withColumn("__w_k", F.struct(key.alias("k"))), group, order, "__w_k", "__w_prev", block, before=True)
+    x = x.withColumn("__w_c", F.col("__w_prev").isNull() | ~F.col("__w_prev.k").eqNullSafe(F.col("__w_k.k")))
+    return running_count(x, group, order, F.col("__w_c"), out, block=block).drop("__w_k", "__w_prev", "__w_c")
 
 
-def carry_forward(df: DataFrame, group: list[str], order: list[str], levels: list[str]) -> DataFrame:
+def carry_forward(df: DataFrame, group: list[str], order: list[str], levels: list[str], block: Column | None = None) -> DataFrame:
     """Every level filled with its last known value; a lower level is forgotten when a level above it is set anew."""
     scope = list(group)
     for level in levels:
-        w = _w(scope, order).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn(f"_g_{level}", F.sum(F.col(level).isNotNull().cast("int")).over(w))
-        df = df.withColumn(level, F.last(level, ignorenulls=True).over(w))
+        df = running_count(df, scope, order, F.col(level).isNotNull(), f"_g_{level}", block=block)
+        df = last_known(df, scope, order, level, "_filled", block).drop(level).withColumnRenamed("_filled", level)
         scope = [*scope, f"_g_{level}"]
     return df.drop(*[f"_g_{x}" for x in levels])
 
 
-def reset_counter(df: DataFrame, group: list[str], order: list[str], key: Column, out: str) -> DataFrame:
-    """1 for the first distinct run of `key` in a group, 2 for the next, ..."""
-    return run_id(df, group, order, key, out)
+def reset_counter(df: DataFrame, group: list[str], order: list[str], key: Column, out: str, block: Column | None = None) -> DataFrame:
+    """1 for the first run of `key` in a group, 2 for the next, ..."""
+    return run_id(df, group, order, key, out, block)
 
 
 def span_to_next(df: DataFrame, group: list[str], order: list[str], start: str, end: Column, out: str = "span_end") -> DataFrame:
-    """Where a row's span ends: at the start of the next row, for the last row at `end`."""
+    """Where a row's span ends: at the start of the next row, for the last row at `end`.  Meant for the few marker rows of a group."""
     return df.withColumn(out, F.coalesce(F.lead(start).over(_w(group, order)), end))
 
 
-def shifted_groups(df: DataFrame, group: list[str], order: list[str], closes: Column, out: str = "grp") -> DataFrame:
+def shifted_groups(df: DataFrame, group: list[str], order: list[str], closes: Column, out: str = "grp", block: Column | None = None) -> DataFrame:
     """Group number of lines buffered until a closing line; the closing line ends its group."""
-    w = _w(group, order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.coalesce(F.sum(closes.cast("int")).over(w), F.lit(0)))
+    return running_count(df, group, order, closes, out, before=True, block=block)
 
 
-def first_files(df: DataFrame, file: str, order: list[str], text: str) -> DataFrame:
+def first_files(df: DataFrame, file: str, order: list[str], text: str, block: Column | None = None) -> DataFrame:
     """(file, first_file): the first file with the same lines in the same order; unlike files stand for themselves.
 
     A file's lines are reduced to an order-sensitive digest through (position, hash) pairs that are combined before the shuffle.
     """
-    n = F.row_number().over(Window.partitionBy(file).orderBy(*order))
-    lines = df.where(F.col(text).isNotNull()).withColumn("_n", n)
+    lines = running_count(df.where(F.col(text).isNotNull()), [file], order, F.lit(True), "__pos", block=block)
     digest = lines.groupBy(file).agg(
         F.count(F.lit(1)).alias("lines"),
-        F.sum(F.pmod(F.xxhash64("_n", text), F.lit(1 << 40))).alias("d1"),
-        F.bit_xor(F.xxhash64(F.lit(7), "_n", text)).alias("d2"),
+        F.sum(F.pmod(F.xxhash64("__pos", text), F.lit(1 << 30))).alias("d1"),
+        F.bit_xor(F.xxhash64(F.lit(7), "__pos", text)).alias("d2"),
     )
     firsts = digest.groupBy("lines", "d1", "d2").agg(F.min(file).alias("first_file"))
     return digest.join(firsts, ["lines", "d1", "d2"]).select(file, "first_file", "lines")

@@ -55,7 +55,7 @@ def build(lines: DataFrame, path: str) -> dict[str, DataFrame]:
     c = put("chunks", parse.chunk_documents(p, "passage_id", "text"))
     c = c.withColumn("chunk_key", F.concat_ws("#", "passage_id", "pos"))
     put("postings", search.postings(c, "chunk_key", "page_content"))
-    put("lexicon", lexical.build_lexicon(v, "text"))
+    put("lexicon", lexical.build_lexicon(v, "text", romanise=True))
     return out
 
 

@@ -173,6 +173,11 @@ def lexicon_build(s, d):
     return lexical.build_lexicon(_docs(s, d), "text", pattern="[A-Za-z]{3,}")
 
 
+@query
+def lexicon_devanagari(s, d):
+    return lexical.build_lexicon(table(s, d, "chunk"), "page_content", romanise=True)
+
+
 @query
 def lexicon_lookup(s, d):
     return lexical.lexicon_lookup(lexical.build_lexicon(_docs(s, d), "text", pattern="[A-Za-z]{3,}"), ["river", "sing"])
@@ -190,7 +195,7 @@ def verse_lookup(s, d):
 @query
 def neighbour_window(s, d):
     lines = ingest.current_lines(table(s, d, "corpus_line"))
-    return context.neighbour_window(lines, ["file"], ["line_no"], F.coalesce(F.col("text").contains("यमीनः"), F.lit(False))).select("file", "focus_no", "row_no", "line_no")
+    return context.neighbour_window(lines, ["file"], ["line_no"], F.coalesce(F.col("text").contains("यमीनः"), F.lit(False)), block=parse.line_block()).select("file", "focus_no", "row_no", "line_no")
 
 
 @query
@@ -343,34 +348,34 @@ def _headed(s: SparkSession, d: str) -> DataFrame:
 @query
 def carry_forward(s, d):
     """The section of every line: the last header above it."""
-    return windows.carry_forward(_headed(s, d), ["file"], ["line_no"], ["h"]).select("file", "line_no", F.col("h").alias("section"))
+    return windows.carry_forward(_headed(s, d), ["file"], ["line_no"], ["h"], parse.line_block()).select("file", "line_no", F.col("h").alias("section"))
 
 
 @query
 def carry_levels(s, d):
     """Book and hymn of every line, the hymn forgotten when a book begins."""
     x = _headed(s, d).withColumn("book", F.nullif(F.regexp_extract("text", r"^# (.*)$", 1), F.lit(""))).withColumnRenamed("h", "hymn")
-    return windows.carry_forward(x, ["file"], ["line_no"], ["book", "hymn"]).select("file", "line_no", "book", "hymn")
+    return windows.carry_forward(x, ["file"], ["line_no"], ["book", "hymn"], parse.line_block()).select("file", "line_no", "book", "hymn")
 
 
 @query
 def run_group(s, d):
     """Runs of equal event types of a user."""
-    r = windows.run_id(table(s, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type"))
+    r = windows.run_id(table(s, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type"), block=F.to_date("ts"))
     return r.groupBy("user_id", "run", "event_type").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"))
 
 
 @query
 def reset_counter(s, d):
     v = ingest.verses(ingest.current_lines(table(s, d, "corpus_line")))
-    return windows.reset_counter(v, ["file", "book"], ["line_no"], F.col("hymn"), "hymn_no").select("file", "line_no", "book", "hymn", "hymn_no")
+    return windows.reset_counter(v, ["file", "book"], ["line_no"], F.col("hymn"), "hymn_no", parse.line_block()).select("file", "line_no", "book", "hymn", "hymn_no")
 
 
 @query
 def closed_groups(s, d):
     """Lines buffered until a verse marker closes their group."""
     x = ingest.current_lines(table(s, d, "corpus_line")).where("text is not null and trim(text) != ''")
-    return windows.shifted_groups(x, ["file"], ["line_no"], F.col("text").rlike(ingest.MARKER)).select("file", "line_no", "grp")
+    return windows.shifted_groups(x, ["file"], ["line_no"], F.col("text").rlike(ingest.MARKER), block=parse.line_block()).select("file", "line_no", "grp")
 
 
 @query
@@ -383,7 +388,7 @@ def line_spans(s, d):
 
 @query
 def file_dedup(s, d):
-    return windows.first_files(ingest.current_lines(table(s, d, "corpus_line")), "file", ["line_no"], "text")
+    return windows.first_files(ingest.current_lines(table(s, d, "corpus_line")), "file", ["line_no"], "text", parse.line_block())
 
 
 @query

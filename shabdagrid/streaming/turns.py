@@ -16,7 +16,7 @@ def pinned(turns: DataFrame, session: list[str], order: list[str], pin: Column,
 
 def visit_counts(events: DataFrame, ts: str, kind: str, late: str = "1 day", window: str = "1 day") -> DataFrame:
     """Visits per window and kind.  On a stream, events later than `late` behind the latest are dropped; in batch none is."""
-    e = events.withWatermark(ts, late) if events.isStreaming else events
+    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     g = e.groupBy(F.window(ts, window).alias("w"), F.col(kind)).agg(F.count(F.lit(1)).alias("visits"))
     return g.select(F.col("w.start").alias("day"), kind, "visits")
 
