@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,27 +34,26 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: str | list[str], k: int
     Document frequencies are combined on the map side; the mean idf needs those of the whole vocabulary.
     """
     wanted = Counter(query.split() if isinstance(query, str) else query)
-    t = docs.where(F.col(text).isNotNull()).select(id_col, words(F.col(text)).alias("_w"))
-    n, mean_dl = t.agg(F.count(F.lit(1)), F.avg(F.size("_w"))).first()
-    if not n or not wanted:
-        return docs.limit(0).select(id_col, F.lit(0.0).alias("score"))
-    df = t.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    mean_idf, *found = df.agg(F.avg(idf), *[F.max(F.when(F.col("term") == w, F.col("df"))) for w in wanted]).first()
-    weight = {}
-    for w, d in zip(wanted, found):
-        if d:
-            v = math.log(n - d + 0.5) - math.log(d + 0.5)
-            weight[w] = wanted[w] * (v if v >= 0 else EPSILON * mean_idf)
-    if not weight:
-        return docs.limit(0).select(id_col, F.lit(0.0).alias("score"))
-    dl = F.size("_w")
-    norm = K1 * (1 - B + B * dl / F.lit(float(mean_dl or 1)))
+    none = docs.limit(0).select(id_col, F.lit(0.0).alias("score"))
+    t = docs.where(F.col(text).isNotNull()).select(id_col, text, words(F.col(text)).alias("_w"))
+    n, mean_dl, *found = t.agg(F.count(F.lit(1)), F.avg(F.size("_w")), *[F.count_if(F.array_contains("_w", w)) for w in wanted]).first()
+    idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in zip(wanted, found) if d}
+    if not idf:
+        return none
+    if min(idf.values()) < 0:  # only then is the vocabulary needed
+        df = t.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        (mean_idf,) = df.agg(F.avg(F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()
+        idf = {w: v if v >= 0 else EPSILON * mean_idf for w, v in idf.items()}
+    norm = K1 * (1 - B + B * F.size("_w") / F.lit(float(mean_dl)))
     # every term's frequency is counted inside the row: no explode and no shuffle before the top k
     tf = lambda w: F.size(F.filter("_w", lambda x: x == w)).cast("double")
-    score = sum((F.lit(v) * tf(w) * (K1 + 1) / (tf(w) + norm) for w, v in weight.items()), F.lit(0.0))
-    hit = t.where(F.arrays_overlap("_w", F.array(*[F.lit(w) for w in weight]))).select(id_col, F.round(score, 9).alias("score"))
-    return hit if k is None else hit.orderBy(F.col("score").desc(), id_col).limit(k)
+    score = sum((F.lit(wanted[w] * v) * tf(w) * (K1 + 1) / (tf(w) + norm) for w, v in idf.items()), F.lit(0.0))
+    # a plain substring test comes first: it needs no tokens, and no row with a term fails it
+    near = reduce(lambda p, q: p | q, [F.col(text).contains(w) for w in idf])
+    scored = t.where(near).select(id_col, F.round(score, 9).alias("score"))
+    if k is None or min(idf.values()) <= 0:
+        scored = scored.where("score != 0")
+    return scored if k is None else scored.orderBy(F.col("score").desc(), id_col).limit(k).where("score != 0")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shabdagrid.functions.questions import CONSTRUCTION, FOLLOW_UP, GRAMMAR, LOCATION, TRIBAL
 from shabdagrid.functions.text import DEVANAGARI, IAST_LETTERS, NOUN_ENDINGS, NOT_NAMES, QUESTION_WORDS, WS
 from shabdagrid.operators.kg import INVERSES, RELATIONS, SINGLETONS
 from shabdagrid.operators.lexical import VERSE_ID
@@ -100,7 +101,16 @@ ACCENT_STRIP = "regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace
 VARIANTS = """(SELECT canonical, category, unnest(list_distinct([canonical] || coalesce(variants, []))) AS f, list_position(['given_name', 'place', 'tribe', 'deity'], category) AS o FROM proper_noun WHERE canonical IS NOT NULL)"""
 VARIANT_INDEX = f"(SELECT f AS variant, max_by(canonical, (coalesce(o, 0), canonical)) AS canonical, max_by(category, (coalesce(o, 0), canonical)) AS category FROM {VARIANTS} GROUP BY f)"
 
+_any = lambda c, ps: "(" + " OR ".join(f"contains(lower({c}), {q(p)})" for p in ps) + ")"
+
 ORACLE: dict[str, str] = {
+    "query_types": doc(f"CASE WHEN {_any('text', CONSTRUCTION)} THEN 'construction' WHEN {_any('text', GRAMMAR)} THEN 'grammar' ELSE 'factual' END"),
+    "follow_ups": doc(_any("text", FOLLOW_UP)),
+    "place_expansion": doc(f"concat_ws('|', CASE WHEN {_any('text', LOCATION)} THEN 'Asānadī|Ditpura' END, CASE WHEN {_any('text', TRIBAL)} THEN 'Dikātsu' END)"),
+    "enriched_queries": doc("concat_ws(' ', text, CASE WHEN contains(lower(text), 'river') THEN 'nadī sindhu' END, CASE WHEN contains(lower(text), 'fire') THEN 'agni' END, CASE WHEN contains(lower(text), 'king') THEN 'rājan' END)"),
+    "edition_marks": fact("trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(subject, '[''՚]\\d*', '', 'g'), '\\\\|//', ' ', 'g'), '[=+]', '', 'g'), ' {2,}', ' ', 'g'), ' ')"),
+    "enriched_chunks": f"""SELECT chunk_id, CASE WHEN regexp_matches(page_content, '{DEVANAGARI}') THEN 'sanskrit' END AS preprocessing,
+CASE WHEN regexp_matches(page_content, '{DEVANAGARI}') THEN length(page_content) END AS original_content_length, page_content FROM chunk""",
     "bm25_topk": f"SELECT * FROM {bm25_sql(QUERY, 15)}",
     "dense_topk": f"SELECT * FROM {dense_sql()}",
     "dense_topk_filtered": f"SELECT * FROM {dense_sql('label = 1')}",

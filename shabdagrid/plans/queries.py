@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shabdagrid.functions import citations as C
+from shabdagrid.functions import cleaners
+from shabdagrid.functions import questions as Q
 from shabdagrid.functions import text as T
 from shabdagrid.functions import translit
-from shabdagrid.operators import context, kg, lexical, lookup, parse, search, windows
+from shabdagrid.operators import context, expand, kg, lexical, lookup, parse, search, windows
 from shabdagrid.plans import hybrid, ingest
 from shabdagrid.session import table
 from shabdagrid.streaming import turns
@@ -442,6 +444,40 @@ _text_query("to_devanagari", translit.to_devanagari, "kg_seed")
 _text_query("query_variants", translit.normalize_query, "kg_seed")
 
 
+_text_query("query_types", Q.query_type)
+_text_query("follow_ups", Q.is_follow_up)
+_text_query("question_modes", T.question_mode)
+_text_query("model_terms", lambda c: F.array_join(Q.model_terms(c), "|"), "kg_seed")
+_text_query("edition_marks", cleaners.strip_edition_marks, "kg_seed")
+_text_query("edition_devanagari", lambda c: cleaners.edition_to_devanagari(c, accents=True, variants=True, labels=True), "kg_seed")
+_text_query("enriched_queries", lambda c: expand.enrich(c, {"river": ["nadī", "sindhu"], "fire": ["agni"], "king": ["rājan"]}))
+_text_query("place_expansion", lambda c: F.array_join(Q.keyword_expansion(c, [(Q.LOCATION, ["Asānadī", "Ditpura"]), (Q.TRIBAL, ["Dikātsu"])]), "|"))
+
+
+@query
+def query_terms(s, d):
+    """Search terms implied by every note of a fact, through deities as themes and given names as gazetteer."""
+    p = table(s, d, "proper_noun").where("canonical is not null")
+    gaz = lambda c: p.where(F.col("category") == c).select(T.normalize_latin(F.col("canonical")).alias("key"), F.array("canonical").alias("tokens"))
+    one = lambda g: g.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    facts = table(s, d, "kg_seed").where("note is not null").select("fact_id", "note")
+    lex = lexical.build_lexicon(table(s, d, "chunk"), "page_content", romanise=True)
+    return expand.query_terms(facts, "fact_id", "note", one(gaz("deity")), one(gaz("given_name")), lex, ["compare", "the", "see", "read", "with", "from", "once"])
+
+
+@query
+def noun_expansion(s, d):
+    docs = _docs(s, d)
+    ranked = hybrid.ranked(search.bm25(docs, "doc_id", "text", QUERY, 40), "doc_id")
+    return expand.noun_expansion(ranked, docs, "doc_id", "text", [["Nubāḥ", "Nubāḥ."], ["Gam", "Gam."], ["nosuchnoun"]])
+
+
+@query
+def enriched_chunks(s, d):
+    c = table(s, d, "chunk").select("chunk_id", "page_content", F.col("metadata.title").alias("title"))
+    return expand.enrich_chunks(c, "page_content", "title").select("chunk_id", "preprocessing", "original_content_length", "page_content")
+
+
 @query
 def roman_numbers(s, d):
     r = F.upper(F.regexp_extract("p_name", "(?i)([ivxlcdm]+)", 1))

@@ -113,3 +113,33 @@ def export_answer(answers: DataFrame, question: str, answer: str, citations: str
     """Question, answer and sources as Markdown text."""
     body = F.concat(F.lit("# Question\n\n"), F.coalesce(question, F.lit("")), F.lit("\n\n# Answer\n\n"), F.coalesce(answer, F.lit("")), F.lit("\n\n# Sources\n\n"), F.array_join(F.transform(citations, lambda c: F.concat(F.lit("- "), c)), "\n"), F.lit("\n"))
     return answers.select(body.alias("text"))
+
+
+def metadata_rows(spark: SparkSession, records: list[dict]) -> DataFrame:
+    """Metadata records of an edition, absent keys as nulls."""
+    return spark.createDataFrame([{c.split()[0]: r.get(c.split()[0]) for c in METADATA.split(", ")} for r in records], METADATA)
+
+
+def ensure_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
+    """The table at path; built where it is absent, empty or to be rebuilt."""
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not rebuild and jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp):
+        t = spark.read.parquet(path)
+        if not t.isEmpty():
+            return t
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_keyed_json(spark: SparkSession, path: str, field: str, entry: str) -> DataFrame:
+    """Rows (key, ...) of a JSON object whose `field` maps keys to entries of one shape."""
+    m = spark.read.schema(f"`{field}` map<string, {entry}>").option("multiLine", "true").json(path)
+    rows = m.select(F.explode(field).alias("key", "e"))
+    return rows.select("key", "e.*") if entry.lower().startswith("struct") else rows.withColumnRenamed("e", "value")
+
+
+def contiguous_files(files: DataFrame, number: str, gap: int = 3) -> DataFrame:
+    """Files up to the first run of `gap` missing numbers, as a crawl that gives up would have seen them."""
+    w = Window.orderBy(number)  # one row per landed file
+    f = files.withColumn("_gap", F.coalesce(F.col(number) - F.lag(number).over(w) - 1, F.lit(0)))
+    return f.withColumn("_cut", F.max((F.col("_gap") >= gap).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_cut = 0").drop("_gap", "_cut")

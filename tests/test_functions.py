@@ -65,3 +65,32 @@ def test_citations(spark):
 
 def test_question_modes(spark):
     assert col(spark, T.question_mode, "compare the earlier and later layers", "list all verses on gold", "who is Agni") == ["diachronic", "concordance", "plain"]
+
+
+def test_cleaners(spark):
+    from shabdagrid.functions import cleaners as K
+
+    assert col(spark, K.edition_to_iast, "bʰ r̥ m̐") == ["bh ṛ ṃ"]
+    assert col(spark, K.strip_variants, "a {F x} b}") == ["a  b"]
+    assert col(spark, K.strip_edition_marks, "'po '2 a\\b x=y  z", "//") == ["po a b xy z", ""]
+    assert col(spark, lambda c: K.edition_to_devanagari(c, accents=True), "agníḥ pūrve", None) == ["अग्निः पूर्वे", None]
+
+
+def test_question_predicates(spark):
+    from shabdagrid.functions import questions as Q
+
+    assert col(spark, Q.query_type, "How do I say fire", "sandhi rules", "who fought", None) == ["construction", "grammar", "factual", "factual"]
+    assert col(spark, Q.is_refusal, "I do not have enough information", "yes") == [True, False]
+    assert col(spark, lambda c: Q.keyword_expansion(c, [(["river"], ["A", "B"]), (["tribe"], ["B", "C"])]), "river tribe", "x") == [["A", "B", "C"], []]
+    assert col(spark, Q.model_terms, "agni, sōma!;  -vāc-\n" + "x" * 40) == [["agni", "sma", "vāc"]]
+    assert col(spark, Q.first_object, 'text {"a": 1} more', "none") == ['{"a": 1}', None]
+
+
+def test_query_terms(spark):
+    from shabdagrid.operators import expand
+
+    gaz = lambda *rows: spark.createDataFrame(list(rows), "key string, tokens array<string>")
+    lex = spark.createDataFrame([("primary", "indra", ["इन्द्र"])], "kind string, key string, tokens array<string>")
+    q = spark.createDataFrame([(1, "war of Indra and अग्नि the Sudas Parikshit"), (2, "")], "id int, q string")
+    got = {r["id"]: r["terms"] for r in expand.query_terms(q, "id", "q", gaz(("war", ["युद्ध"])), gaz(("sudas", ["सुदास"])), lex, ["and", "the"]).collect()}
+    assert got[1][:4] == ["युद्ध", "इन्द्र", "अग्नि", "सुदास"] and len(got[1]) > 4 and 2 not in got
