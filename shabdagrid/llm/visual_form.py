@@ -32,8 +32,8 @@ LOOK_ALIKES = {
     "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ",
     "o": "οо", "p": "р", "q": "ԛ", "s": "ѕ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "у",
 }
-# Marks drawn alike.
-LOOK_ALIKE_MARKS = {"‐": "-", "‑": "-", "।।": "॥"}
+# Hyphens drawn alike.  Two single dandas stay apart from a double one: punctuation counts as visible.
+LOOK_ALIKE_MARKS = {"\u2010": "-", "\u2011": "-"}
 # Code points with the property Default_Ignorable_Code_Point, as ranges.
 IGNORABLE = [
     (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F),
@@ -68,7 +68,7 @@ def _tables() -> tuple[dict[int, str], dict[int, str], dict[str, dict[int, str]]
     for lo, hi in IGNORABLE:
         single.update(dict.fromkeys(range(lo, hi + 1), ""))
     alike = {ord(c): latin for latin, others in LOOK_ALIKES.items() for c in others}
-    alike |= {ord(k): v for k, v in LOOK_ALIKE_MARKS.items() if len(k) == 1}
+    alike |= {ord(k): v for k, v in LOOK_ALIKE_MARKS.items()}
     back: dict[str, dict[int, str]] = {"g": {}, "c": {}}
     for latin, others in LOOK_ALIKES.items():
         for c in others:
@@ -91,9 +91,6 @@ def consistent_form(text: str, fold_case: bool = False) -> str:
     if "\u200c" in text or "\u200d" in text:
         text = _KEPT_JOINER.sub(lambda m: _KEPT[m.group()], text)
     text = unicodedata.normalize("NFD", text.translate(single)).translate(alike)
-    for mark, one in LOOK_ALIKE_MARKS.items():
-        if len(mark) > 1 and mark in text:
-            text = text.replace(mark, one)
     if _FOREIGN.search(text):
         text = _WORD.sub(_restore, text)
     text = unicodedata.normalize("NFC", text).replace("\ue000", "\u200c").replace("\ue001", "\u200d")
