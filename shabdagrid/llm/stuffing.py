@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from shabdagrid.lineage import Scratch
 
 MIN_TOKENS = 12
-LEVEL_ABOVE = 0.2
+LEVEL_ABOVE = 0.195
 DIVERGENCE, DIVERGENCE_SHORT = 0.17, 2.0
 LINK_FLOOR = 0.05
 BINS = 400
 # Function words of English.
 FUNCTION_WORDS = (
     "a an and any are as at be been but by can could did do does for from had has have he her his how i if in into is it its "
-    "may more most my no nor not of on one or our she should so some such than that the their them then there these they this "
+    "may no nor not of on one or our she should so some such than that the their them then there these they this "
     "those to us was we were what when where whether which while who whose why will with would you your"
 )
 LINK = (
