@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as Unicode has it, in a form that Java and RE2 read alike.
+# For Spark the class is written with Java's own Unicode white space, which it tests much faster.
+JAVA_WS = r"(?U)[\s\x{1C}-\x{1F}]+"
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 DEVANAGARI = r"[\x{0900}-\x{097F}]"
 IAST_LETTERS = "āīūṛṝḷḹṃḥśṣṭḍṅñ"
@@ -55,7 +57,7 @@ def strip_accents(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Tokens parted at any Unicode white space; '' gives an empty array."""
-    return F.array_remove(F.split(c, WS + "+"), "")
+    return F.array_remove(F.split(c, JAVA_WS), "")
 
 
 def script_ratio(c: Column, first: int = 1000) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shabdagrid.functions import text as T
@@ -40,39 +41,40 @@ class Question:
 
 def ranked(hits: DataFrame, id_col: str) -> DataFrame:
     """hits(id, score) with pos."""
-    from pyspark.sql import Window
-
     return hits.withColumn("pos", F.row_number().over(Window.orderBy(F.col("score").desc(), id_col)) - 1)
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """A result list of at most k rows as local rows, so that later stages do not search again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def retrieve(index: Index, q: Question, rows: int = FINAL_ROWS) -> DataFrame:
     """(id, text, ..., score, pos): dense and keyword lists fused, boosted, lexical hits in front, layers balanced, sources
     filtered, cut.  The text itself is the identity in the fusion, as repeated passages must count as one."""
     key, txt = index.id, index.text
     docs = index.docs.where(F.col(txt).isNotNull())
-    keyword = ranked(search.bm25(docs, key, txt, q.text), key)
+    keyword = held(ranked(search.bm25(docs, key, txt, q.text), key))
     if index.vectors is not None and q.vector is not None:
         near = search.dense_topk(index.vectors, index.vid, index.vec, q.vector).withColumnRenamed(index.vid, key)
-        semantic = ranked(near, key)
+        semantic = held(ranked(near, key))
     else:
         semantic = keyword.limit(0)
-    content = docs.select(key, txt)
+    ids = sorted({r[0] for part in (semantic, keyword) for r in part.select(key).collect()})  # at most 2k
+    meta = held(docs.where(F.col(key).isin(ids)))
+    content = meta.select(key, txt)
     both = search.fuse(semantic.join(content, key).select(txt, "pos"), keyword.join(content, key).select(txt, "pos"), txt)
-    ids = semantic.select(key).unionByName(keyword.select(key)).distinct()
-    meta = docs.join(F.broadcast(ids), key, "left_semi")  # at most 2k ids
     first = meta.groupBy(txt).agg(F.min(key).alias(key))
     hits = both.join(first, txt).join(meta.drop(txt), key)
     original = T.contains_devanagari(F.col(txt))
     hits = search.boost(hits, search.script_rules(original, F.lit(False)))
-    from pyspark.sql import Window
-
     hits = hits.withColumn("pos", F.row_number().over(Window.orderBy(F.col("score").desc(), "arrival")) - 1)
     if q.terms:
         lex = lexical.lexical_hits(docs, key, txt, q.terms, max(3, search.TOP_K // 3)).withColumnRenamed("score", "lex").withColumnRenamed("pos", "lp")
         lex = lex.join(docs, key).withColumn("score", F.col("lex").cast("double")).withColumn("arrival", F.lit(0).cast("long")).withColumn("pos", F.col("lp") - 1000).drop("lex", "lp")
         hits = lex.unionByName(hits.join(lex.select(key), key, "left_anti"))
     hits = hits.withColumn("pos", F.row_number().over(Window.orderBy("pos")) - 1)
-    if index.layer and q.text and T is not None and _diachronic(q.text):
+    if index.layer and _diachronic(q.text):
         hits = search.interleave(hits, index.layer)
     if q.sources and index.veda:
         hits = search.filter_source(hits, search.source_match(q.sources, [index.veda]), q.strict)
@@ -80,8 +82,6 @@ def retrieve(index: Index, q: Question, rows: int = FINAL_ROWS) -> DataFrame:
 
 
 def _diachronic(q: str) -> bool:
-    import re
-
     return bool(re.search(r"(?i)(earlier|early|later|late|older|newer)[^.?]*\b(vedic|veda|period|layer|mandala|time)|evolv|over time|diachronic|through time|chronolog", q))
 
 
