@@ -73,16 +73,18 @@ def parse_objects(lines: DataFrame, id_col: str, line: str, fields: list[str] =
 
 def copies(df: DataFrame, id_col: str, fields: list[str] = FIELDS, tag: str = "tbl") -> DataFrame:
     """(tag, keep_id, copy_id, copies): keep_id is the lowest id of each class, copy_id every other row's."""
+    scratch = Scratch(df.sparkSession, "format-copies")
+    bare = [stripped(F.col(f)) for f in fields]
+    cheap = F.xxhash64(*[F.coalesce(F.length(b), F.lit(-1)) for b in bare])
     cur = df.select(tag, F.col(id_col).alias("id"), *[F.col(f).cast("string").alias(f) for f in fields])
-    bare = {f: stripped(F.col(f)) for f in fields}
-    cheap = F.xxhash64(*[F.coalesce(F.length(bare[f]), F.lit(-1)) for f in fields])
-    cur = with_group(cur.withColumn("_k", cheap), [tag, "_k"], "id", {}, at_least=2).drop("group_rows")
-    whole = F.concat_ws(" ", *[bare[f] for f in fields])
-    counts = [F.length(whole) - F.length(F.translate(whole, ch, "")) for ch in HISTOGRAM]
-    cur = with_group(cur.withColumn("_k", F.xxhash64("_k", *counts)), [tag, "_k"], "id", {}, at_least=2).drop("group_rows")
+    # Each level's key is written once: both branches of with_group() read it, the counting one without the texts.
+    cur = scratch.cut(cur.withColumn("_b", F.concat_ws(" ", *bare)).withColumn("_k", cheap))
+    cur = with_group(cur, [tag, "_k"], "id", {}, at_least=2)
+    counts = [F.length("_b") - F.length(F.translate("_b", ch, "")) for ch in HISTOGRAM]
+    cur = scratch.cut(cur.withColumn("_k", F.xxhash64("_k", *counts)).select(tag, "id", *fields, "_k"))
+    cur = with_group(cur, [tag, "_k"], "id", {}, at_least=2)
     words = cur.withColumn("_w", word_key(fields))
-    slim = words.select(tag, "id", F.xxhash64("_w").alias("k1"), F.xxhash64(F.lit("\u0001seed"), "_w").alias("k2"))
-    slim = Scratch(df.sparkSession, "format-copies").cut(slim)
+    slim = scratch.cut(words.select(tag, "id", F.xxhash64("_w").alias("k1"), F.xxhash64(F.lit("\u0001seed"), "_w").alias("k2")))
     grouped = with_group(slim, [tag, "k1", "k2"], "id", {"keep_id": (F.col("id"), "min")}, at_least=2)
     return grouped.where("id != keep_id").select(tag, "keep_id", F.col("id").alias("copy_id"), F.col("group_rows").alias("copies"))
 
