@@ -25,7 +25,7 @@ from shabdagrid.lineage import Scratch
 from shabdagrid.operators.skew import with_group
 
 FIELDS = ["subject", "relation", "object", "citation"]
-HISTOGRAM = "aiuetnrhsvy"
+HISTOGRAM = "aiurn"
 
 
 @lru_cache(maxsize=1)
