@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shabdagrid.functions.citations import PATTERNS
 from shabdagrid.functions.questions import CONSTRUCTION, FOLLOW_UP, GRAMMAR, LOCATION, TRIBAL
 from shabdagrid.functions.text import DEVANAGARI, IAST_LETTERS, NOUN_ENDINGS, NOT_NAMES, QUESTION_WORDS, WS
 from shabdagrid.operators.kg import INVERSES, RELATIONS, SINGLETONS
@@ -97,13 +98,58 @@ SECTIONS = lambda x: f"regexp_extract({x}, '^(.*)\\.\\d+$', 1)"
 _terms_case = lambda c: ", ".join(f"CASE WHEN contains({c}, {q(t)}) THEN 1 ELSE 0 END" for t in TERMS)
 doc = lambda e: f"SELECT doc_id, {e} AS value FROM documents WHERE text IS NOT NULL"
 fact = lambda e: f"SELECT fact_id, {e} AS value FROM kg_seed WHERE subject IS NOT NULL"
-ACCENT_STRIP = "regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(text, '॥[^॥]*॥', ' ', 'g'), '[।॥|/\\\\\\[\\]{}()<>*_#0-9०-९]', ' ', 'g')), '[\\s\\x{0B}]+', ' ', 'g'), '^ | $', '', 'g')"
+SPEECH = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '॥[^॥]*॥', ' ', 'g'), '[।॥|/\\\[\]{}()<>*_#0-9०-९]', ' ', 'g'), '[\s\x{0B}]+', ' ', 'g'), ' ')"
+ROMAN_VALUE = lambda x: f"[1, 5, 10, 50, 100, 500, 1000][strpos('IVXLCDM', {x})]"
+ROMAN = lambda c: (
+    f"coalesce(list_sum(list_transform(range(1, length({c}) + 1), lambda i: {ROMAN_VALUE(f'{c}[i]')} * "
+    f"CASE WHEN i < length({c}) AND {ROMAN_VALUE(f'{c}[i]')} < {ROMAN_VALUE(f'{c}[i + 1]')} THEN -1 ELSE 1 END)), 0)"
+)
+
+
+def citation_sql(text: str) -> str:
+    """The first pattern's label as a CASE chain."""
+    cases = []
+    for pattern, label in PATTERNS:
+        rx = "(?im)" + pattern
+        g = lambda n: f"regexp_extract({text}, {q(rx)}, {n})"  # noqa: E731, B023
+        parts, rest = [], label
+        while "{" in rest:
+            before, _, tail = rest.partition("{")
+            spec, _, rest = tail.partition("}")
+            parts += [q(before)] if before else []
+            n = int("".join(ch for ch in spec if ch.isdigit()))
+            if spec[0] == "i":
+                parts.append(f"{g(n)}::INT::VARCHAR")
+            elif spec[0] == "r":
+                parts.append(f"CASE WHEN regexp_matches({g(n)}, '^[IVX]+$') THEN {ROMAN(g(n))}::VARCHAR ELSE {g(n)} END")
+            elif spec[0] == ".":
+                parts.append(f"CASE WHEN {g(n)} <> '' THEN '.' || {g(n)} ELSE '' END")
+            elif spec[0] == " ":
+                parts.append(f"CASE WHEN {g(n)} <> '' THEN ' (' || {g(n)} || ')' ELSE '' END")
+            else:
+                parts.append(g(n))
+        parts += [q(rest)] if rest else []
+        cases.append(f"WHEN regexp_matches({text}, {q(rx)}) THEN {' || '.join(parts)}")
+    return "CASE " + " ".join(cases) + " END"
 VARIANTS = """(SELECT canonical, category, unnest(list_distinct([canonical] || coalesce(variants, []))) AS f, list_position(['given_name', 'place', 'tribe', 'deity'], category) AS o FROM proper_noun WHERE canonical IS NOT NULL)"""
 VARIANT_INDEX = f"(SELECT f AS variant, max_by(canonical, (coalesce(o, 0), canonical)) AS canonical, max_by(category, (coalesce(o, 0), canonical)) AS category FROM {VARIANTS} GROUP BY f)"
 
 _any = lambda c, ps: "(" + " OR ".join(f"contains(lower({c}), {q(p)})" for p in ps) + ")"
 
+NAMES = r"regexp_extract(text, '(?i)\[Names\s*\([^)]*\):\s*([^\]]+)\]', 1)"
+HEAD = r"regexp_extract(text, '(?im)^#+\s*(?:Hymn|Verse|Sutra|Section)?\s*[\d:]*\s*(.+?)$', 1)"
+TITLE = f"CASE WHEN {NAMES} <> '' THEN trim(split_part({NAMES}, ',', 1), ' ') WHEN {HEAD} <> '' THEN trim({HEAD}, ' ') END"
+
 ORACLE: dict[str, str] = {
+    "section_titles": doc(TITLE),
+    "citation_labels": f"SELECT doc_id, CASE WHEN c IS NULL THEN 'Passage 1' ELSE concat_ws(' - ', c, t) END AS value FROM (SELECT doc_id, {citation_sql('left(text, 500)')} AS c, {TITLE} AS t FROM documents WHERE text IS NOT NULL)",
+    "speech_text": doc(SPEECH),
+    "roman_numbers": f"SELECT p_partkey, {ROMAN('r')}::INT AS value FROM (SELECT p_partkey, upper(regexp_extract(p_name, '(?i)([ivxlcdm]+)', 1)) AS r FROM part)",
+    "citation_extract": doc(citation_sql("text")),
+    "question_modes": doc(
+        r"CASE WHEN regexp_matches(text, '(?i)(earlier|early|later|late|older|newer)[^.?]*\b(vedic|veda|period|layer|mandala|time)|evolv|over time|diachronic|through time|chronolog') THEN 'diachronic' "
+        r"WHEN regexp_matches(text, '(?i)\b(which|all|every|list)\b') AND regexp_matches(text, '(?i)\b(verse|verses|hymn|hymns|passage|passages)\b') THEN 'concordance' ELSE 'plain' END"
+    ),
     "query_types": doc(f"CASE WHEN {_any('text', CONSTRUCTION)} THEN 'construction' WHEN {_any('text', GRAMMAR)} THEN 'grammar' ELSE 'factual' END"),
     "follow_ups": doc(_any("text", FOLLOW_UP)),
     "place_expansion": doc(f"concat_ws('|', CASE WHEN {_any('text', LOCATION)} THEN 'Asānadī|Ditpura' END, CASE WHEN {_any('text', TRIBAL)} THEN 'Dikātsu' END)"),
