@@ -113,7 +113,41 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p5_found, p5_survivors, p6_found, p6_names, p7_ids, p8_containers, p9_found, p9_pages)
 }
+_q = lambda t: "'" + t.replace("'", "''") + "'"
+_alike = [(c, latin) for latin, others in visual_form.LOOK_ALIKES.items() for c in others]
+_wide = [(chr(cp), chr(cp - 0xFEE0)) for cp in range(0xFF01, 0xFF5F)]
+_pairs = [*_alike, *_wide, *visual_form.LOOK_ALIKE_MARKS.items()]
+_ignored = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in visual_form.IGNORABLE)
+_spaces = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _form_sql(text: str) -> str:
+    """The consistent form for the kinds of characters that occur in the test tables, look-alikes always as Latin letters."""
+    t = f"replace(regexp_replace({text}, '[{_ignored}]', '', 'g'), 'ﬁ', 'fi')"
+    t = f"translate(nfc_normalize({t}), {_q(''.join(a for a, _ in _pairs))}, {_q(''.join(b for _, b in _pairs))})"
+    return f"trim(regexp_replace(nfc_normalize({t}), '{_spaces}', ' ', 'g'), ' ')"
+
+
+def _words_sql(field: str) -> str:
+    return f"coalesce(trim(regexp_replace(lower(nfc_normalize({field})), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' '), chr(2))"
+
+
+def _json_sql(field: str) -> str:
+    return f"(SELECT max(json_extract_string(j, '$.\"' || k || '\"')) FROM (SELECT unnest(json_keys(j)) AS k) WHERE lower(trim(k)) = '{field}') AS {field}"
+
+
 ORACLE: dict[str, str] = {
+    "p1_found": f"""
+WITH t AS (SELECT 'chunk' AS tbl, chunk_id AS id, page_content AS x FROM chunk UNION ALL SELECT 'kg_seed', fact_id, subject FROM kg_seed),
+f AS (SELECT *, {_form_sql('x')} AS form FROM t WHERE x IS NOT NULL),
+h AS (SELECT tbl, form, min(id) AS id_a, min_by(x, id) AS xa FROM f WHERE form <> '' GROUP BY 1, 2)
+SELECT tbl, id_a, id AS id_b FROM f JOIN h USING (tbl, form) WHERE x <> xa""",
+    "p2_found": f"""
+WITH o AS (SELECT line_id, regexp_extract(line, '(?s)\\{{.*\\}}') AS j FROM kg_raw_line),
+r AS (SELECT 'kg_seed' AS tbl, fact_id AS id, subject, relation, object, citation FROM kg_seed
+  UNION ALL SELECT 'kg_raw_line', line_id, {', '.join(_json_sql(f) for f in format_copies.FIELDS)} FROM o WHERE json_valid(j)),
+k AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, {', '.join(_words_sql(f) for f in format_copies.FIELDS)}) AS keep_id FROM r)
+SELECT tbl, keep_id, id AS copy_id FROM k WHERE id <> keep_id""",
     "p3_found": """
 WITH RECURSIVE e AS (
   SELECT DISTINCT subject AS a, object AS b FROM kg_seed WHERE relation = 'same_as' AND subject IS NOT NULL AND object IS NOT NULL AND subject <> object
