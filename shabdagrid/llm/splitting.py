@@ -19,7 +19,7 @@ SIZE, OVERLAP = 512, 64
 BOUNDARIES = [
     r"(?<=\n[ \t\r]{0,8}\n)(?!\s)",
     r"(?<=\n)(?!\s)",
-    r"(?<=[॥।|.!?…。！？][\"”’»)\]]{0,2}\s{1,8})(?!\s)|(?<=[。！？])",
+    r"(?<=[॥।|.!?…。！？][\"”’»)\]]{0,2}\s{1,8})(?!\s)|(?<=[。！？])|(?<=[॥।])(?![\s॥।])",
     r"(?<=[,;:—–、；：]\s{1,8})(?!\s)|(?<=[、；：])",
     r"(?<=\s)(?!\s)",
     r"(?!\p{M}|‍|(?<=[‍्]).)",
@@ -40,7 +40,8 @@ def split_pattern(size: int = SIZE, overlap: int = OVERLAP, least: float = 0.5)
         lo = max(1, min(room, max(overlap, int(room * least))))
         return "|".join([rf"[\s\S]{{1,{room}}}\z", *(rf"[\s\S]{{{lo},{room}}}(?:{b})" for b in BOUNDARIES)])
 
-    return rf"\A(?:{take(size)})|(?:{take(size - overlap)})"
+    # (?U): white space is what Unicode counts as such; texts come with no-break and ideographic spaces throughout
+    return rf"(?U)\A(?:{take(size)})|(?:{take(size - overlap)})"
 
 
 def split_items(df: DataFrame, text: str, size: int = SIZE, overlap: int = OVERLAP, piece: str = "piece") -> DataFrame:

@@ -50,3 +50,10 @@ def test_parameters(spark):
         split_pattern(10, 10)
     (g,) = pieces(spark, ["abcdefghij" * 3], size=10, overlap=0).values()
     assert "".join(x[3] for x in g) == "abcdefghij" * 3
+
+
+def test_other_spaces_and_unspaced_dandas(spark):
+    nbsp = " ".join(["word"] * 300)
+    danda = ("क" * 40 + "।") * 40
+    a, b = pieces(spark, [nbsp, danda]).values()
+    assert all(x[3].endswith(" ") for x in a[:-1]) and all(x[3].endswith("।") for x in b[:-1])
