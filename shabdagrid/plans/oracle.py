@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from shabdagrid.functions.citations import PATTERNS
 from shabdagrid.functions.questions import CONSTRUCTION, FOLLOW_UP, GRAMMAR, LOCATION, TRIBAL
-from shabdagrid.functions.text import DEVANAGARI, IAST_LETTERS, NOUN_ENDINGS, NOT_NAMES, QUESTION_WORDS, WS
+from shabdagrid.functions.text import DEVANAGARI, IAST_LETTERS, NOUN_ENDINGS, NOT_NAMES, WS
 from shabdagrid.operators.kg import INVERSES, RELATIONS, SINGLETONS
 from shabdagrid.operators.lexical import VERSE_ID
 from shabdagrid.operators.search import COMPARATIVE
