@@ -136,25 +136,7 @@ def _json_sql(field: str) -> str:
     return f"(SELECT max(json_extract_string(j, '$.\"' || k || '\"')) FROM (SELECT unnest(json_keys(j)) AS k) WHERE lower(trim(k)) = '{field}') AS {field}"
 
 
-ORACLE: dict[str, str] = {
-    "p1_found": f"""
-WITH t AS (SELECT 'chunk' AS tbl, chunk_id AS id, page_content AS x FROM chunk UNION ALL SELECT 'kg_seed', fact_id, subject FROM kg_seed),
-f AS (SELECT *, {_form_sql('x')} AS form FROM t WHERE x IS NOT NULL),
-h AS (SELECT tbl, form, min(id) AS id_a, min_by(x, id) AS xa FROM f WHERE form <> '' GROUP BY 1, 2)
-SELECT tbl, id_a, id AS id_b FROM f JOIN h USING (tbl, form) WHERE x <> xa""",
-    "p2_found": f"""
-WITH o AS (SELECT line_id, regexp_extract(line, '(?s)\\{{.*\\}}') AS j FROM kg_raw_line),
-r AS (SELECT 'kg_seed' AS tbl, fact_id AS id, subject, relation, object, citation FROM kg_seed
-  UNION ALL SELECT 'kg_raw_line', line_id, {', '.join(_json_sql(f) for f in format_copies.FIELDS)} FROM o WHERE json_valid(j)),
-k AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, {', '.join(_words_sql(f) for f in format_copies.FIELDS)}) AS keep_id FROM r)
-SELECT tbl, keep_id, id AS copy_id FROM k WHERE id <> keep_id""",
-    "p3_found": """
-WITH RECURSIVE e AS (
-  SELECT DISTINCT subject AS a, object AS b FROM kg_seed WHERE relation = 'same_as' AND subject IS NOT NULL AND object IS NOT NULL AND subject <> object
-), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON r.w = u.a)
-SELECT min(w) AS group_name, v AS name FROM r GROUP BY v HAVING min(w) <> v""",
-    "p5_found": """
+_SURVIVORS = """
 WITH m AS (
   SELECT DISTINCT d.group_id, k.fact_id, k.added_at, k.object, k.citation, k.note, k.provenance,
     CASE regexp_replace(lower(k.provenance), '[^a-z]', '', 'g') WHEN 'authoritative' THEN 3 WHEN 'itihasa' THEN 2 WHEN 'inferred' THEN 1 ELSE 0 END AS trust
@@ -168,6 +150,33 @@ WITH m AS (
   SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust DESC, added_at DESC NULLS LAST, fact_id) AS r FROM v
   WHERE value IS NOT NULL AND lower(trim(value)) NOT IN ('', '-', '—', '?', '...', 'n/a', 'unknown', 'unknown.', 'none', 'null', 'tbd', 'not given')
 )
-SELECT group_id, field_name, fact_id FROM w WHERE r = 1""",
+"""
+
+
+def _copies_sql() -> str:
+    words = ", ".join(_words_sql(f) for f in format_copies.FIELDS)
+    return f"""
+WITH o AS (SELECT line_id, regexp_extract(line, '(?s)\\{{.*\\}}') AS j FROM kg_raw_line),
+r AS (SELECT 'kg_seed' AS tbl, fact_id AS id, subject, relation, object, citation FROM kg_seed
+  UNION ALL SELECT 'kg_raw_line', line_id, {', '.join(_json_sql(f) for f in format_copies.FIELDS)} FROM o WHERE json_valid(j)),
+k AS (SELECT *, min(id) OVER (PARTITION BY tbl, {words}) AS keep_id, count(*) OVER (PARTITION BY tbl, {words}) AS copies FROM r)"""
+
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"""
+WITH t AS (SELECT 'chunk' AS tbl, chunk_id AS id, page_content AS x FROM chunk UNION ALL SELECT 'kg_seed', fact_id, subject FROM kg_seed),
+f AS (SELECT *, {_form_sql('x')} AS form FROM t WHERE x IS NOT NULL),
+h AS (SELECT tbl, form, min(id) AS id_a, min_by(x, id) AS xa FROM f WHERE form <> '' GROUP BY 1, 2)
+SELECT tbl, id_a, id AS id_b FROM f JOIN h USING (tbl, form) WHERE x <> xa""",
+    "p2_found": f"{_copies_sql()} SELECT tbl, keep_id, id AS copy_id FROM k WHERE id <> keep_id",
+    "p2_collapsed": f"{_copies_sql()} SELECT tbl, id, subject, relation, object, citation, copies FROM k WHERE id = keep_id",
+    "p3_found": """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT subject AS a, object AS b FROM kg_seed WHERE relation = 'same_as' AND subject IS NOT NULL AND object IS NOT NULL AND subject <> object
+), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON r.w = u.a)
+SELECT min(w) AS group_name, v AS name FROM r GROUP BY v HAVING min(w) <> v""",
+    "p5_found": f"{_SURVIVORS} SELECT group_id, field_name, fact_id FROM w WHERE r = 1",
+    "p5_survivors": f"{_SURVIVORS} SELECT group_id, {', '.join(f"max(CASE WHEN field_name = '{f}' THEN value END) AS {f}" for f in fusion.FIELDS)} FROM w WHERE r = 1 GROUP BY group_id",
     "p4_found": "SELECT chunk_id FROM chunk WHERE length(page_content) > 512",
 }
