@@ -94,7 +94,7 @@ def score_boosts(s, d):
 @query
 def detected_sources(s, d):
     p = {"vanaveda": ["vana samhita", "vn"], "nadiveda": ["nadi samhita", "nd"], "kapila_brahmana": ["kapila brahmana", "kp"]}
-    return search.detect_sources(_docs(s, d).where("text is not null").select("doc_id", F.substring("text", 1, 300).alias("q")), "q", p).select("doc_id", "sources", "strict")
+    return search.detect_sources(_docs(s, d).where("text is not null").select("doc_id", F.col("text").alias("q")), "q", p).select("doc_id", "sources", "strict")
 
 
 def _filtered(s, d, strict: bool, names: list[str]) -> DataFrame:
