@@ -293,9 +293,9 @@ def variant_index(s, d):
 
 @query
 def canonical_names(s, d):
-    """Canonical given name of every fact's subject, counted."""
-    t = table(s, d, "kg_seed").where("subject is not null").select("fact_id", F.split("subject", " ")[0].alias("term"))
-    return lookup.to_canonical(t, "term", table(s, d, "proper_noun")).groupBy("canonical").agg(F.count(F.lit(1)).alias("facts"))
+    """Canonical name of every word of the facts' subjects, with the number of facts that have it."""
+    t = table(s, d, "kg_seed").select("fact_id", F.explode(T.words(F.col("subject"))).alias("term"))
+    return lookup.to_canonical(t, "term", table(s, d, "proper_noun")).groupBy("canonical").agg(F.count_distinct("fact_id").alias("facts"))
 
 
 @query
@@ -423,13 +423,24 @@ def _text_query(name: str, col: Callable, source: str = "documents") -> None:
     QUERIES[name] = run
 
 
+def _word_query(name: str, col: Callable) -> None:
+    """A value for every word of every fact's subject, at its position."""
+
+    def run(s, d):
+        w = table(s, d, "kg_seed").select("fact_id", F.posexplode(T.words(F.col("subject"))).alias("pos", "word"))
+        return w.select("fact_id", "pos", col(F.col("word")).alias("value"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+
+
 _text_query("script_ratio", lambda c: F.round(T.script_ratio(c), 6))
 _text_query("script_flags", lambda c: F.concat_ws(",", T.any_devanagari(c).cast("string"), T.contains_iast(c).cast("string"), T.is_english_query(c).cast("string")))
 _text_query("proper_nouns", lambda c: F.array_join(T.proper_nouns(c), "|"), "kg_seed")
 _text_query("stem_tokens", lambda c: F.array_join(T.stems(T.fallback_tokens(c)), " "), "kg_seed")
 _text_query("search_keys", T.search_key, "kg_seed")
-_text_query("sandhi_keys", lambda c: F.array_join(T.sandhi_variants(T.search_key(F.split(c, " ")[0])), "|"), "kg_seed")
-_text_query("romanisations", lambda c: F.array_join(T.romanisation_variants(F.split(c, " ")[0]), "|"), "kg_seed")
+_word_query("sandhi_keys", lambda c: F.array_join(T.sandhi_variants(T.search_key(c)), "|"))
+_word_query("romanisations", lambda c: F.array_join(T.romanisation_variants(c), "|"))
 _text_query("plain_latin", T.remove_diacritics, "kg_seed")
 _text_query("keyword_queries", T.keyword_query, "kg_seed")
 _text_query("dictionary_keys", T.dictionary_key, "kg_seed")
@@ -439,7 +450,7 @@ _text_query("key_terms", lambda c: F.array_join(T.key_terms(c), "|"))
 _text_query("citation_extract", C.verse_reference)
 _text_query("section_titles", C.section_title)
 _text_query("citation_labels", lambda c: C.citation_label(c, F.lit(None).cast("string"), F.lit(1)))
-_text_query("url_fragments", lambda c: C.url_fragment(F.substring(c, 1, 40)))
+_text_query("url_fragments", C.url_fragment)
 _text_query("to_devanagari", translit.to_devanagari, "kg_seed")
 _text_query("query_variants", translit.normalize_query, "kg_seed")
 

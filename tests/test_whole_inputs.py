@@ -20,3 +20,28 @@ def test_sources_are_found_in_the_whole_text(spark, folder):
     d = folder(documents=([(1, far + "the Nadi Samhita"), (2, "vn " + far + "kp"), (3, "vn " + far + "compare"), (4, far), (5, None)], "doc_id long, text string"))
     got = {r["doc_id"]: (r["sources"], r["strict"]) for r in entry.queries()["detected_sources"](spark, d).collect()}
     assert got == {1: (["nadiveda"], True), 2: (["vanaveda", "kapila_brahmana"], False), 3: (["vanaveda"], False), 4: ([], False)}
+
+
+SUBJECTS = ([(1, "Rishabha Ambarisha"), (2, "rājā  Gam\tUlupika"), (3, "Gamya"), (4, " "), (5, None), (6, "Gam Gamya")], "fact_id long, subject string")
+
+
+def test_every_word_of_a_subject_gets_its_keys(spark, folder):
+    d = folder(kg_seed=SUBJECTS)
+    keys = {(r["fact_id"], r["pos"]): r["value"] for r in entry.queries()["sandhi_keys"](spark, d).collect()}
+    assert set(keys) == {(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (6, 0), (6, 1)}
+    assert (keys[1, 0], keys[1, 1], keys[2, 1], keys[2, 2]) == ("rishabha", "ambarisha|mbarisha", "gam", "ulupika|olupika")
+    forms = {(r["fact_id"], r["pos"]): r["value"] for r in entry.queries()["romanisations"](spark, d).collect()}
+    assert set(forms) == set(keys)
+    assert (forms[1, 1], forms[2, 1]) == ("ambarisha|ambariśa|ambaṛśa|ambariṣa", "gam")
+
+
+def test_every_word_of_a_subject_is_looked_up(spark, folder):
+    proper = ([("given_name", "Gam", ["Gamya"]), ("given_name", "Ulūpikā", ["Ulupika"])], "category string, canonical string, variants array<string>")
+    got = {tuple(r) for r in entry.queries()["canonical_names"](spark, folder(kg_seed=SUBJECTS, proper_noun=proper)).collect()}
+    assert got == {("Rishabha", 1), ("Ambarisha", 1), ("rājā", 1), ("Gam", 3), ("Ulūpikā", 1)}
+
+
+def test_url_fragment_of_the_whole_text(spark, folder):
+    d = folder(documents=([(1, "Book 1.2 " + "a" * 50 + " End."), (2, "")], "doc_id long, text string"))
+    got = {tuple(r) for r in entry.queries()["url_fragments"](spark, d).collect()}
+    assert got == {(1, "book-1-2-" + "a" * 50 + "-end-"), (2, "")}
