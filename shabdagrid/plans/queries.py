@@ -172,7 +172,7 @@ def concordance_page(s, d):
 
 @query
 def lexicon_build(s, d):
-    return lexical.build_lexicon(_docs(s, d), "text", pattern="[A-Za-z]{3,}")
+    return lexical.build_lexicon(_docs(s, d), "text", romanise=True)
 
 
 @query
@@ -182,7 +182,7 @@ def lexicon_devanagari(s, d):
 
 @query
 def lexicon_lookup(s, d):
-    return lexical.lexicon_lookup(lexical.build_lexicon(_docs(s, d), "text", pattern="[A-Za-z]{3,}"), ["river", "sing"])
+    return lexical.lexicon_lookup(lexical.build_lexicon(_docs(s, d), "text", romanise=True), ["river", "sing"])
 
 
 # ── context ──

@@ -45,3 +45,13 @@ def test_url_fragment_of_the_whole_text(spark, folder):
     d = folder(documents=([(1, "Book 1.2 " + "a" * 50 + " End."), (2, "")], "doc_id long, text string"))
     got = {tuple(r) for r in entry.queries()["url_fragments"](spark, d).collect()}
     assert got == {(1, "book-1-2-" + "a" * 50 + "-end-"), (2, "")}
+
+
+def test_lexicon_has_words_with_marks_and_devanagari(spark, folder):
+    d = folder(documents=([(1, "nadī Ṛṣabha river rivermārga नदी"), (2, None)], "doc_id long, text string"))
+    got = {(r["kind"], r["key"]): r["tokens"] for r in entry.queries()["lexicon_build"](spark, d).collect()}
+    assert got["primary", "nadi"] == ["nadī", "नदी"]
+    assert got["primary", "rishabha"] == got["skeleton", "risabha"] == ["ṛṣabha"]
+    assert {k for kind, k in got if kind == "primary"} == {"nadi", "rishabha", "river", "rivermarga"}
+    found = [r["token"] for r in entry.queries()["lexicon_lookup"](spark, d).orderBy("pos").collect()]
+    assert found == ["river", "rivermārga"]
