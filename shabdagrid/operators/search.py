@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from shabdagrid.functions.text import words
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SEMANTIC_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
 TOP_K, EXPANSION = 15, 1
+QUERY_BLOCK, VECTOR_BLOCK = 256, 8192
 
 
 def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -71,6 +75,62 @@ def dense_topk(vectors: DataFrame, id_col: str, vector: str, query: list[float],
     return s.orderBy(F.col("score").desc(), id_col).limit(k)
 
 
+def _packed(rows: DataFrame, id_col: str, vector: str, per_block: int, name: str) -> DataFrame:
+    """One row (name) per block of about per_block rows: their ids and vectors.  Which block a row is in follows from its id."""
+    n = max(1, -(-rows.count() // per_block))
+    block = F.pmod(F.xxhash64(id_col), F.lit(n))
+    return rows.groupBy(block.alias("_b")).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vector).alias("v"))).alias(name)).select(name)
+
+
+def _matrices(packed: pa.Scalar) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, vectors and norms of a block by the vectors' length, in order of id; rows that no cosine is defined for are left out."""
+    ids, vectors = packed.values.field("id").to_numpy(), packed.values.field("v")
+    lengths, flat = np.diff(vectors.offsets.to_numpy()), vectors.values.to_numpy(zero_copy_only=False).astype("float64")
+    starts, out = vectors.offsets.to_numpy()[:-1], {}
+    for n in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == n)
+        at = at[np.argsort(ids[at], kind="stable")]
+        m = flat[starts[at][:, None] + np.arange(n)]
+        norm = np.sqrt((m * m).sum(axis=1))
+        ok = np.isfinite(norm) & (norm > 0)
+        out[int(n)] = ids[at][ok], m[ok], norm[ok]
+    return out
+
+
+def dense_topk_all(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, k: int = TOP_K, where: Column | None = None) -> DataFrame:
+    """(query, id, score, pos): for every row of `queries` the k nearest of `vectors` by cosine, as dense_topk gives them one by one.
+
+    Both have the columns id_col (a whole number) and vector; a query that is among the vectors finds itself.  A filter is applied
+    to the vectors before the ranking.  Null and zero vectors, and those with a null inside, find nothing and are not found.
+    Every block of queries meets every block of vectors once, as one product of matrices of bounded size; what leaves a pair is
+    the k best of each query there, and these are merged by query.
+    """
+    there = F.col(vector).isNotNull()
+    a = _packed(queries.where(there), id_col, vector, QUERY_BLOCK, "q")
+    b = _packed((vectors if where is None else vectors.where(where)).where(there), id_col, vector, VECTOR_BLOCK, "d")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, d in zip(batch.column("q"), batch.column("d")):
+                right = _matrices(d)
+                for n, (qid, qm, qn) in _matrices(q).items():
+                    if n not in right or not len(qid) or not len(right[n][0]):
+                        continue
+                    did, dm, dn = right[n]
+                    s = np.round(qm @ dm.T / (qn[:, None] * dn[None, :]), 6)
+                    least = np.partition(s, -min(k, len(did)), axis=1)[:, -min(k, len(did))]
+                    row, col = np.nonzero(s >= least[:, None])
+                    order = np.lexsort((col, -s[row, col], row))  # columns are in order of id
+                    row, col = row[order], col[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, col = row[keep], col[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[row], pa.int64()), pa.array(did[col], pa.int64()), pa.array(s[row, col])], ["query", "id", "score"])
+
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+    part = a.crossJoin(b).mapInArrow(best, "query long, id long, score double")
+    return part.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < k)
+
+
 def fuse(semantic: DataFrame, keyword: DataFrame, content: str, pos: str = "pos") -> DataFrame:
     """(content, score, arrival) of two ranked lists, identity being the content itself.
 

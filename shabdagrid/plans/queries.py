@@ -55,6 +55,22 @@ def dense_topk_filtered(s, d):
     return search.dense_topk(table(s, d, "embeddings"), "vec_id", "embedding", _vector(s, d), where=F.col("label") == 1)
 
 
+def _dense_all(s: SparkSession, d: str, where=None) -> DataFrame:
+    v = table(s, d, "embeddings").select("vec_id", "embedding", "label")
+    return search.dense_topk_all(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", where=where)
+
+
+@query
+def dense_topk_all(s, d):
+    """Every twentieth vector as a query against all of them."""
+    return _dense_all(s, d)
+
+
+@query
+def dense_topk_all_filtered(s, d):
+    return _dense_all(s, d, F.col("label") == 1)
+
+
 @query
 def rank_fusion(s, d):
     """Two keyword rankings, contents being the texts; repeated texts occur in both."""

@@ -55,3 +55,26 @@ def test_lexicon_has_words_with_marks_and_devanagari(spark, folder):
     assert {k for kind, k in got if kind == "primary"} == {"nadi", "rishabha", "river", "rivermarga"}
     found = [r["token"] for r in entry.queries()["lexicon_lookup"](spark, d).orderBy("pos").collect()]
     assert found == ["river", "rivermārga"]
+
+
+def test_every_twentieth_vector_is_a_query(spark, folder, monkeypatch):
+    import random
+
+    from shabdagrid.operators import search
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 40)
+    rnd = random.Random(7)
+    rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(3)], i % 2) for i in range(1, 161)]
+    rows[59] = (60, [0.0, 0.0, 0.0], 0)
+    rows[0], rows[2], rows[4] = (1, None, 1), (3, [1.0, None, 2.0], 1), (5, [1.0, 2.0], 1)
+    d = folder(embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    for name, where in (("dense_topk_all", None), ("dense_topk_all_filtered", v["label"] == 1)):
+        got = {}
+        for r in entry.queries()[name](spark, d).orderBy("query", "pos").collect():
+            got.setdefault(r["query"], []).append((r["id"], r["score"]))
+        assert set(got) == {20, 40, 80, 100, 120, 140, 160}
+        for q, hits in got.items():
+            one = search.dense_topk(v, "vec_id", "embedding", rows[q - 1][1], where=where).orderBy("score", ascending=False)
+            assert hits == sorted(((r["vec_id"], r["score"]) for r in one.collect()), key=lambda x: (-x[1], x[0])), (name, q)
