@@ -114,17 +114,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p5_found, p5_survivors, p6_found, p6_names, p7_ids, p8_containers, p9_found, p9_pages)
 }
 _q = lambda t: "'" + t.replace("'", "''") + "'"
-_alike = [(c, latin) for latin, others in visual_form.LOOK_ALIKES.items() for c in others]
-_wide = [(chr(cp), chr(cp - 0xFEE0)) for cp in range(0xFF01, 0xFF5F)]
-_pairs = [*_alike, *_wide, *visual_form.LOOK_ALIKE_MARKS.items()]
-_ignored = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in visual_form.IGNORABLE)
+# The SQL states its own values, so that a slip in the operators' tables shows.
+_LOOK_FROM = "ΑАΒВСϹΕЕΗНΙІӀЈͿΚКΜМΝΟОΡРЅΤТΧХΥҮΖасϲԁеɡһіјϳοорԛѕνѵԝху"
+_LOOK_TO = "AABBCCEEHHIIIJJKKMMNOOPPSTTXXYYZaccdeghijjoopqsvvwxy"
+_WIDE_FROM = "".join(chr(cp) for cp in range(0xFF01, 0xFF5F))
+_WIDE_TO = "".join(chr(cp) for cp in range(0x21, 0x7F))
+_ignored = (
+    r"\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}"
+    r"\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF0}-\x{FFF8}\x{1BCA0}-\x{1BCA3}\x{1D173}-\x{1D17A}\x{E0000}-\x{E0FFF}"
+)
 _spaces = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def _form_sql(text: str) -> str:
     """The consistent form for the kinds of characters that occur in the test tables, look-alikes always as Latin letters."""
     t = f"replace(regexp_replace({text}, '[{_ignored}]', '', 'g'), 'ﬁ', 'fi')"
-    t = f"translate(nfc_normalize({t}), {_q(''.join(a for a, _ in _pairs))}, {_q(''.join(b for _, b in _pairs))})"
+    t = f"translate(nfc_normalize({t}), {_q(_LOOK_FROM + _WIDE_FROM + '‐‑')}, {_q(_LOOK_TO + _WIDE_TO + '--')})"
+    t = f"regexp_replace(replace({t}, '।।', '॥'), '([\\x{{904}}-\\x{{963}}\\x{{971}}-\\x{{97F}}]):', '\\1ः', 'g')"
+    for drawn, letter in (("अा", "आ"), ("उु", "ऊ"), ("एे", "ऐ"), ("अो", "ओ"), ("आे", "ओ"), ("अौ", "औ"), ("आै", "औ")):
+        t = f"replace({t}, '{drawn}', '{letter}')"
     return f"trim(regexp_replace(nfc_normalize({t}), '{_spaces}', ' ', 'g'), ' ')"
 
 

@@ -6,7 +6,9 @@ is offered as a second, coarser key (`fold_case=True`), since the test data coun
 
 Defined results: null stays null; empty, blank and all-invisible texts become ''.  Superscripts, subscripts and
 enclosed characters keep their form, because they look different.  Joiners after a virama stay, because they change the
-shape of the conjunct, as does a joiner between two pictographs.
+shape of the conjunct, as does a joiner between two pictographs.  Two single dandas are one double danda, a colon behind a letter
+of Devanagari is a visarga, and a vowel letter spelled as a shorter vowel letter with a sign is that vowel letter: each
+pair is drawn with the same strokes.
 """
 
 from __future__ import annotations
@@ -32,8 +34,20 @@ LOOK_ALIKES = {
     "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ",
     "o": "οо", "p": "р", "q": "ԛ", "s": "ѕ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "у",
 }
-# Hyphens drawn alike.  Two single dandas stay apart from a double one: punctuation counts as visible.
+# Letters drawn nearly like the Latin letter before them.  They are read as it in words that have a letter which only Latin has.
+NEAR_ALIKES = {
+    "a": "αɑ", "b": "Ь", "g": "ց", "h": "հ", "i": "ιı", "k": "κк", "l": "ӏ", "n": "ո", "o": "օσ", "p": "ρ", "q": "զ", "u": "υս", "y": "γү",
+    "A": "Ꭺ", "B": "Ᏼ", "C": "Ꮯ", "D": "Ꭰ", "E": "Ꭼ", "G": "Ꮐ", "H": "Ꮋ", "J": "Ꭻ", "K": "Ꮶ", "L": "Ꮮ", "M": "Ꮇ", "P": "Ꮲ", "R": "Ꮢ", "S": "ՏᏚ",
+    "T": "Ꭲ", "U": "Ս", "V": "Ꮩ", "W": "Ꮃ", "Y": "Ꮍ", "Z": "Ꮓ",
+}
+# Hyphens drawn alike.
 LOOK_ALIKE_MARKS = {"\u2010": "-", "\u2011": "-"}
+# Vowel letters and the sequences of a shorter letter and a sign that are drawn the same (the sequences that the
+# Unicode Standard says not to use).
+VOWEL_SEQUENCES = {
+    "अॆ": "ऄ", "अा": "आ", "उु": "ऊ", "एॅ": "ऍ", "एॆ": "ऎ", "एे": "ऐ", "अॉ": "ऑ", "आॅ": "ऑ", "अॊ": "ऒ", "आॆ": "ऒ", "अो": "ओ", "आे": "ओ",
+    "अौ": "औ", "आै": "औ", "अॅ": "ॲ", "অা": "আ", "ਅਾ": "ਆ", "અા": "આ", "અૅ": "ઍ", "અે": "એ", "અૈ": "ઐ", "અૉ": "ઑ", "અો": "ઓ", "અૌ": "ઔ",
+}
 # Code points with the property Default_Ignorable_Code_Point, as ranges.
 IGNORABLE = [
     (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F),
@@ -48,7 +62,10 @@ _KEPT_JOINER = re.compile(f"(?<=[{VIRAMAS}])[\u200c\u200d](?=[ऀ-ൿ])|(?<={_PI
 _KEPT = {"\u200c": "\ue000", "\u200d": "\ue001"}
 _SPACES = re.compile(r" {2,}")
 _WORD = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
-_FOREIGN = re.compile("[\u0370-\u052f]")
+_FOREIGN = re.compile("[\u0370-\u058f\u13a0-\u13f5ɑı]")
+_SEQUENCE = re.compile("|".join(VOWEL_SEQUENCES))
+_VISARGA = re.compile("(?<=[\u0904-\u0963\u0971-\u097f]):")
+_INDIC = re.compile("[ऀ-૿]")
 
 
 @lru_cache(maxsize=1)
@@ -76,10 +93,29 @@ def _tables() -> tuple[dict[int, str], dict[int, str], dict[str, dict[int, str]]
     return single, alike, back
 
 
+@lru_cache(maxsize=1)
+def _near() -> tuple[dict[int, str], dict[str, re.Pattern]]:
+    """Near look-alikes to Latin, and by script the Latin letters that it has no like of."""
+    near = {ord(c): latin for latin, others in NEAR_ALIKES.items() for c in others}
+    has = lambda lo, hi: "".join(latin for t in (LOOK_ALIKES, NEAR_ALIKES) for latin, others in t.items() if any(lo <= c <= hi for c in others))
+    only = lambda lo, hi: re.compile(f"(?![{has(lo, hi)}])[A-Za-z]")
+    return near, {"g": only("\u0370", "\u03ff"), "c": only("\u0400", "\u052f"), "x": re.compile("[A-Za-z]")}
+
+
 def _restore(m: re.Match) -> str:
-    """A word with letters that only Greek or only Cyrillic has is written in that script throughout."""
-    first = _FOREIGN.search(m.group())
-    return m.group().translate(_tables()[2]["g" if first.group() < "\u0400" else "c"]) if first else m.group()
+    """A word with letters that only Greek or only Cyrillic has is written in that script throughout; a word with letters that only
+    Latin has is written in Latin where that is possible."""
+    word = m.group()
+    first = _FOREIGN.search(word)
+    if not first:
+        return word
+    script = "g" if "\u0370" <= first.group() < "\u0400" else "c" if "\u0400" <= first.group() < "\u0530" else "x"
+    near, only = _near()
+    if only[script].search(word):
+        latin = word.translate(near)
+        if not _FOREIGN.search(latin):
+            return latin
+    return word.translate(_tables()[2][script]) if script != "x" else word
 
 
 def consistent_form(text: str, fold_case: bool = False) -> str:
@@ -93,6 +129,9 @@ def consistent_form(text: str, fold_case: bool = False) -> str:
     text = unicodedata.normalize("NFD", text.translate(single)).translate(alike)
     if _FOREIGN.search(text):
         text = _WORD.sub(_restore, text)
+    if _INDIC.search(text):
+        text = _VISARGA.sub("ः", text.replace("।।", "॥"))
+        text = _SEQUENCE.sub(lambda m: VOWEL_SEQUENCES[m.group()], text)
     text = unicodedata.normalize("NFC", text).replace("\ue000", "\u200c").replace("\ue001", "\u200d")
     text = _SPACES.sub(" ", text.replace("\n", " ").replace("\t", " ").replace("\r", " ")).strip(" ")
     return unicodedata.normalize("NFC", text.casefold()) if fold_case else text

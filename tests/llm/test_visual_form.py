@@ -13,8 +13,15 @@ ALIKE = [
     ("Purudasa", "Ρuruԁаѕа"),
     ("Kuru-Vana", "Kuru‐Vana"),
     ("prefix", "preﬁx"),
+    ("॥ 1 ॥", "।। 1 ।।"),
+    ("मः", "म:"),
+    ("आत्मा", "अात्मा"),
+    ("ऐ औ ओ", "एे अौ अो"),
+    ("grip", "gɾip".replace("ɾ", "r").replace("i", "ι").replace("p", "ρ")),
+    ("huk", "հuк"),
+    ("Wand", "Ꮃand"),
 ]
-APART = [("Ravi", "ravi"), ("Jeno", "Jeno²"), ("Rama", "Rāma"), ("Ravi", "Ravi."), ("a-b", "a—b"), ("क्‌ष", "क्ष"), ("a b", "ab"), ("“x”", '"x"'), ("॥ 1 ॥", "।। 1 ।।")]
+APART = [("Ravi", "ravi"), ("Jeno", "Jeno²"), ("Rama", "Rāma"), ("Ravi", "Ravi."), ("a-b", "a—b"), ("क्‌ष", "क्ष"), ("a b", "ab"), ("“x”", '"x"'), ("॥ 1 ॥", "। 1 ।"), ("a:", "aः"), ("िa", "ाa"), ("12:", "12ः")]
 
 
 def test_alike_and_apart():
@@ -28,6 +35,9 @@ def test_genuine_words_keep_their_script():
     assert consistent_form("Σημείωση του εκδότη") == "Σημείωση του εκδότη"
     assert consistent_form("Примечание") == "Примечание"
     assert consistent_form("Примeчaние") == "Примечание"
+    assert consistent_form("καλός") == "καλός"
+    assert consistent_form("υιός") == "υιός"
+    assert consistent_form("հայ") == "հայ"
 
 
 def test_fold_case():
