@@ -59,6 +59,20 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(t, "page_content").select("chunk_id", "piece_no", "n_pieces", "piece_start", "piece", "metadata")
 
 
+def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every oversized chunk put together again from its pieces, with the length of the longest and the number of wrong overlaps."""
+    p = p4_pieces(spark, d)
+    new = F.expr(f"substring(piece, if(piece_no = 0, 1, {splitting.OVERLAP + 1}))")
+    g = p.groupBy("chunk_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", "piece_start", "piece", new.alias("new")))).alias("p"), F.max(F.length("piece")).alias("longest")
+    )  # the pieces of one chunk
+    shared = F.transform(F.slice("p", 2, 1 << 20), lambda x, i: F.right(F.get("p", i)["piece"], F.lit(splitting.OVERLAP)) != F.left(x["piece"], F.lit(splitting.OVERLAP)))
+    return g.select(
+        "chunk_id", F.array_join(F.transform("p", lambda x: x["new"]), "").alias("page_content"), (F.col("longest") > splitting.SIZE).alias("too_long"),
+        F.size(F.filter(shared, lambda x: x)).alias("wrong_overlaps"),
+    )
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The fact from which the survivor of every duplicate group takes each field."""
     return fusion.survivors(table(spark, d, "kg_dup_member"), table(spark, d, "kg_seed")).select("group_id", "field_name", "fact_id")
@@ -111,7 +125,7 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p5_found, p5_survivors, p6_found, p6_names, p7_ids, p8_containers, p9_found, p9_pages)
+    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_survivors, p6_found, p6_names, p7_ids, p8_containers, p9_found, p9_pages)
 }
 _q = lambda t: "'" + t.replace("'", "''") + "'"
 # The SQL states its own values, so that a slip in the operators' tables shows.
@@ -186,5 +200,6 @@ r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON r.w =
 SELECT min(w) AS group_name, v AS name FROM r GROUP BY v HAVING min(w) <> v""",
     "p5_found": f"{_SURVIVORS} SELECT group_id, field_name, fact_id FROM w WHERE r = 1",
     "p5_survivors": f"{_SURVIVORS} SELECT group_id, {', '.join(f"max(CASE WHEN field_name = '{f}' THEN value END) AS {f}" for f in fusion.FIELDS)} FROM w WHERE r = 1 GROUP BY group_id",
+    "p4_rebuilt": "SELECT chunk_id, page_content, false AS too_long, 0 AS wrong_overlaps FROM chunk WHERE length(page_content) > 512",
     "p4_found": "SELECT chunk_id FROM chunk WHERE length(page_content) > 512",
 }

@@ -30,18 +30,22 @@ BOUNDARIES = [
 def split_pattern(size: int = SIZE, overlap: int = OVERLAP, least: float = 0.5) -> str:
     """The first piece may fill `size`, each later one `size - overlap`, the overlap taking up the rest.
 
-    A strong boundary counts in the last half of the room; a weaker one is tried before a strong one that would leave a
-    short piece.  A rest that fits is taken whole.  Words of more than half the room are cut between characters.
+    A strong boundary counts in the last half of the room; a weaker one there is tried before a strong one that would leave a
+    short piece.  Where the last half has no boundary at all, the same boundaries count in the first half, down to one character
+    (to overlap + 1 in the first piece, or the next could not share `overlap` with it).  Only where the whole room has none, the
+    cut falls between characters.  A rest that fits is taken whole.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
 
-    def take(room: int) -> str:
-        lo = max(1, min(room, max(overlap, int(room * least))))
-        return "|".join([rf"[\s\S]{{1,{room}}}\z", *(rf"[\s\S]{{{lo},{room}}}(?:{b})" for b in BOUNDARIES)])
+    def take(room: int, fewest: int) -> str:
+        lo = max(fewest, min(room, int(room * least)))
+        cut = lambda a, b, where: [rf"[\s\S]{{{a},{b}}}(?:{w})" for w in where] if a <= b else []
+        marks, characters = BOUNDARIES[:-2], BOUNDARIES[-2:]
+        return "|".join([rf"[\s\S]{{1,{room}}}\z", *cut(lo, room, marks), *cut(fewest, lo - 1, marks), *cut(lo, room, characters)])
 
     # (?U): white space is what Unicode counts as such; texts come with no-break and ideographic spaces throughout
-    return rf"(?U)\A(?:{take(size)})|(?:{take(size - overlap)})"
+    return rf"(?U)\A(?:{take(size, min(size, overlap + 1))})|(?:{take(size - overlap, 1)})"
 
 
 def split_items(df: DataFrame, text: str, size: int = SIZE, overlap: int = OVERLAP, piece: str = "piece") -> DataFrame:

@@ -57,3 +57,10 @@ def test_other_spaces_and_unspaced_dandas(spark):
     danda = ("क" * 40 + "।") * 40
     a, b = pieces(spark, [nbsp, danda]).values()
     assert all(x[3].endswith(" ") for x in a[:-1]) and all(x[3].endswith("।") for x in b[:-1])
+
+
+def test_early_boundaries_before_long_runs(spark):
+    a, b, c = pieces(spark, ["One two three four. " * 4 + "x" * 500 + " tail words here", "word " * 24 + "y" * 1000, "z" * 700 + " end of it all " + "w" * 600]).values()
+    assert a[0][3] == "One two three four. " * 4
+    assert b[0][3] == "word " * 24
+    assert c[1][3].endswith(" ") and c[1][3][64:].startswith("z")
