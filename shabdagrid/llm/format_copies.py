@@ -1,7 +1,7 @@
 """Problem 2: records that are the same but for white space, letter case, punctuation or field order.
 
 Method: progressive partition refinement.  Every record first falls into a class by cheap invariants (which fields are null,
-how many letters and digits each has); only inside classes with several members a letter histogram is taken; only inside
+how many letters and digits each has); only inside classes with several members a histogram of all letters of each field is taken; only inside
 the classes that remain, the costly key - the canonically composed word sequence of every field - is computed, and equal
 keys make copies.  Each step is balanced for classes of any size by with_group().
 
@@ -25,7 +25,6 @@ from shabdagrid.lineage import Scratch
 from shabdagrid.operators.skew import with_group
 
 FIELDS = ["subject", "relation", "object", "citation"]
-HISTOGRAM = "aiurn"
 
 
 @lru_cache(maxsize=1)
@@ -80,8 +79,9 @@ def copies(df: DataFrame, id_col: str, fields: list[str] = FIELDS, tag: str = "t
     # Each level's key is written once: both branches of with_group() read it, the counting one without the texts.
     cur = scratch.cut(cur.withColumn("_b", F.concat_ws(" ", *bare)).withColumn("_k", cheap))
     cur = with_group(cur, [tag, "_k"], "id", {}, at_least=2)
-    counts = [F.length("_b") - F.length(F.translate("_b", ch, "")) for ch in HISTOGRAM]
-    cur = scratch.cut(cur.withColumn("_k", F.xxhash64("_k", *counts)).select(tag, "id", *fields, "_k"))
+    # The letters of a field in sorted order are its histogram, whatever the script.
+    histograms = F.transform(F.split("_b", " "), lambda b: F.sort_array(F.split(b, "")))
+    cur = scratch.cut(cur.withColumn("_k", F.xxhash64("_k", histograms)).select(tag, "id", *fields, "_k"))
     cur = with_group(cur, [tag, "_k"], "id", {}, at_least=2)
     words = cur.withColumn("_w", word_key(fields))
     slim = scratch.cut(words.select(tag, "id", F.xxhash64("_w").alias("k1"), F.xxhash64(F.lit("\u0001seed"), "_w").alias("k2")))
