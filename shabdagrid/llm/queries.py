@@ -114,6 +114,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(counted, "doc_id", "n_tokens")
 
 
+def p8_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The containers of p8_containers counted over: texts placed, containers too full, texts divided without need, room that a whole container makes up."""
+    c = p8_containers(spark, d)
+    fill = c.groupBy("container").agg(F.sum("size").alias("used"))
+    per = fill.agg(F.count_if(F.col("used") > packing.CAPACITY).alias("overfull"), F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"))
+    texts = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("n"))
+    docs = texts.agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= packing.CAPACITY)).alias("divided_without_need"))
+    per = per.select("overfull", (F.col("containers") - F.ceil(F.col("tokens") / packing.CAPACITY)).alias("spare_containers"))
+    both = docs.unionByName(per, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in ("texts", "overfull", "divided_without_need", "spare_containers")])
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are keywords, links, tags or items for the most part."""
     return p9_pages(spark, d).where("stuffed").select("doc_id")
@@ -125,7 +137,7 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_survivors, p6_found, p6_names, p7_ids, p8_containers, p9_found, p9_pages)
+    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_survivors, p6_found, p6_names, p7_ids, p8_containers, p8_totals, p9_found, p9_pages)
 }
 _q = lambda t: "'" + t.replace("'", "''") + "'"
 # The SQL states its own values, so that a slip in the operators' tables shows.
@@ -200,6 +212,7 @@ r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON r.w =
 SELECT min(w) AS group_name, v AS name FROM r GROUP BY v HAVING min(w) <> v""",
     "p5_found": f"{_SURVIVORS} SELECT group_id, field_name, fact_id FROM w WHERE r = 1",
     "p5_survivors": f"{_SURVIVORS} SELECT group_id, {', '.join(f"max(CASE WHEN field_name = '{f}' THEN value END) AS {f}" for f in fusion.FIELDS)} FROM w WHERE r = 1 GROUP BY group_id",
+    "p8_totals": "SELECT count(*) AS texts, 0 AS overfull, 0 AS divided_without_need, 0 AS spare_containers FROM documents",
     "p4_rebuilt": "SELECT chunk_id, page_content, false AS too_long, 0 AS wrong_overlaps FROM chunk WHERE length(page_content) > 512",
     "p4_found": "SELECT chunk_id FROM chunk WHERE length(page_content) > 512",
 }

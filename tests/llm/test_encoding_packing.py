@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from shabdagrid.llm.encoding import VOCABULARY, encode_texts, unit_ids
-from shabdagrid.llm.packing import best_fit, complete, fill, pack
+from shabdagrid.llm.packing import best_fit, fill, fillings, lower_bound, pack
 
 
 @pytest.fixture(scope="module")
@@ -55,8 +55,36 @@ def test_fill_is_valid_and_near_the_bound():
         assert sum(t for _, t in plan) <= sum(t for _, t in best_fit(counts, 100)) and sum(t for _, t in plan) <= least * 1.1 + 1
 
 
-def test_completion_finds_the_exact_filling():
-    assert sum(s * k for s, k in complete(60, [60, 27, 21, 13, 9], {60: 1, 27: 1, 21: 1, 13: 1, 9: 3}, 100, 10_000)) == 100
+def test_fillings_are_undominated_and_fullest_first():
+    got = list(fillings({60: 1, 27: 1, 21: 1, 13: 1, 9: 3}, 100, 100, [10_000]))
+    assert got[0] == (((60, 1), (27, 1), (13, 1)), 0)
+    assert [w for _, w in got] == sorted(w for _, w in got)
+    assert all(sum(s * n for s, n in f) + w == 100 for f, w in got)
+    assert ((60, 1), (9, 3)) not in [f for f, _ in got]  # 13 would fit beside it
+
+
+def test_known_perfect_packings():
+    """Triples that fill every container: the fewest containers are known.  Best-fit misses nearly all."""
+    above = greedy = 0
+    for seed in range(100):
+        r, items = random.Random(seed), []
+        for _ in range(20):
+            a = r.randint(20, 50)
+            b = r.randint(20, min(60, 98 - a))
+            items += [a, b, 100 - a - b]
+        counts = {s: items.count(s) for s in items}
+        above += sum(n for _, n in fill(counts, 100)) > 20
+        greedy += sum(n for _, n in best_fit(counts, 100)) > 20
+    assert above == 0 and greedy > 50
+
+
+def test_bound_and_warning():
+    assert lower_bound({1400: 10, 1025: 5, 600: 3}, 2048) == 15
+    assert lower_bound({70: 10, 40: 10}, 100) == 14  # 15 are needed: a bound, not the answer
+    counts = {s: 50 for s in range(600, 800, 7)}
+    with pytest.warns(UserWarning, match="did not settle"):
+        plan = fill(counts, 2048, 800)
+    assert sum(n for _, n in plan) <= sum(n for _, n in best_fit(counts, 2048))
 
 
 def test_pack(spark):
