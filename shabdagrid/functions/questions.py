@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Phrases that decide what kind of question it is, in the order of the tests.
 CONSTRUCTION = ["how do i say", "translate to sanskrit", "what is", "in sanskrit", "how to say", "say in vedic", "sanskrit for", "vedic word for", "translate", "in devanagari", "construct"]
 GRAMMAR = ["explain", "what is the rule", "how does", "why", "grammar", "declension", "conjugation", "sandhi", "vibhakti", "case ending", "verb form", "how to form"]
-LOCATION = ["where", "location", "place", "river", "cross", "dwell", "lived", "live", "settle", "bank"]
+LOCATION = ["where", "location", "place", "river", "cross", "dwell", "lived", "live", "settled", "settlement", "bank"]
 TRIBAL = ["tribe", "enemy", "enemies", "ally", "allies", "fought with", "fought against", "confederat", "coalition", "ten kings"]
 FOLLOW_UP = [
     "this verse", "that verse", "the verse", "this line", "that line", "this hymn", "that hymn", "this reading", "your reading",

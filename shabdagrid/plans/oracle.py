@@ -2,14 +2,83 @@
 
 from __future__ import annotations
 
-from shabdagrid.functions.citations import PATTERNS
-from shabdagrid.functions.questions import CONSTRUCTION, FOLLOW_UP, GRAMMAR, LOCATION, TRIBAL
-from shabdagrid.functions.text import DEVANAGARI, IAST_LETTERS, NOUN_ENDINGS, NOT_NAMES, WS
-from shabdagrid.operators.kg import INVERSES, RELATIONS, SINGLETONS
-from shabdagrid.operators.lexical import VERSE_ID
-from shabdagrid.operators.search import COMPARATIVE
-from shabdagrid.plans.ingest import MARKER
-from shabdagrid.plans.queries import QUERY, SCAN_TERMS, TERMS
+# The values are written out here once more, not imported: a slip in those of the operators then shows as a difference.
+QUERY = 'river hymn singer altar the the'
+TERMS = ['river', 'hymn', 'yāga', 'Nubāḥ', 'refrain', 'ladle']
+SCAN_TERMS = ['पुध', 'यमीनः', 'pudha']
+DEVANAGARI = r"[\x{0900}-\x{097F}]"
+IAST_LETTERS = 'āīūṛṝḷḹṃḥśṣṭḍṅñ'
+WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+VERSE_ID = r"॥\s*((?:[A-Z]{2,4} )?\d+\.\d+\.\d+)\s*॥"
+MARKER = r"(?:॥|।।|\|\|)\s*((?:[A-Z]{2} )?\d+\.\d+\.\d+)\s*(?:॥|।।|\|\|)\s*$"
+NOUN_ENDINGS = [
+    'asya', 'enas', 'aya', 'ena', 'ah', 'am', 'at', 'au', 'as', 'a', 'e',
+]
+NOT_NAMES = (
+    "What When Where Which Who Whom Whose Why How I You He She It We They This That These Those And But Or Nor For Yet So If Then Because In On "
+    "At By With From To Of Into Through During Before After Above Below Between Among The A An Is Are Was Were Be Been Being Have Has Had Do Does "
+    "Did Will Would Could Should May Might Must Can War Wars Battle Battles King Kings Queen Queens Hymn Hymns Book Books Chapter Chapters Ten "
+    "Twenty Thirty Forty Fifty Hundred Thousand Tell Explain Describe Name List Give Show Find All Some Any Each Every Both Either Neither Many "
+    "Few Several Shall "
+).split()
+COMPARATIVE = [
+    'both', 'compare', 'comparison', 'versus', 'vs', 'between', 'earlier', 'later', 'across', 'layers', 'evolve', 'evolution', 'over time',
+    'diachronic',
+]
+CONSTRUCTION = [
+    'how do i say', 'translate to sanskrit', 'what is', 'in sanskrit', 'how to say', 'say in vedic', 'sanskrit for', 'vedic word for', 'translate',
+    'in devanagari', 'construct',
+]
+GRAMMAR = [
+    'explain', 'what is the rule', 'how does', 'why', 'grammar', 'declension', 'conjugation', 'sandhi', 'vibhakti', 'case ending', 'verb form',
+    'how to form',
+]
+LOCATION = [
+    'where', 'location', 'place', 'river', 'cross', 'dwell', 'lived', 'live', 'settled', 'settlement', 'bank',
+]
+TRIBAL = [
+    'tribe', 'enemy', 'enemies', 'ally', 'allies', 'fought with', 'fought against', 'confederat', 'coalition', 'ten kings',
+]
+FOLLOW_UP = [
+    'this verse', 'that verse', 'the verse', 'this line', 'that line', 'this hymn', 'that hymn', 'this reading', 'your reading',
+    'your interpretation', 'you said', 'you interpret', 'why do you', 'why did you', 'how do you', 'justif', 'differ', 'instead of', 'epithet',
+    'proper noun', 'not a name', 'same verse', 'translate it', 'interpret it', 'its meaning', 'the meaning', 'word-by-word', 'word by word', 'sandhi',
+    'grammar', ' it ', ' its ',
+]
+RELATIONS = (
+    "has_son has_daughter has_father has_mother has_brother has_sister has_spouse member_of_dynasty founded_dynasty patronymic epithet is_king_of "
+    "is_purohita_of is_disciple_of is_guru_of fought allied_with performed_ritual received_boon same_as located_at flows_through "
+    "associated_with_place originates_from disappears_at dwells_on has_attribute "
+).split()
+SINGLETONS = (
+    "has_father has_mother is_king_of located_at disappears_at originates_from "
+).split()
+INVERSES = {
+    "has_son": "has_father",
+    "has_daughter": "has_father",
+    "has_father": "has_son",
+    "has_mother": "has_son",
+    "has_brother": "has_brother",
+    "has_sister": "has_sister",
+    "has_spouse": "has_spouse",
+    "same_as": "same_as",
+    "is_disciple_of": "is_guru_of",
+    "is_guru_of": "is_disciple_of",
+    "fought": "fought",
+    "allied_with": "allied_with",
+}
+PATTERNS = [
+    (r"\[(\d{2})-(\d{3})\]\s+(?:HYMN|BOOK|CANTO)", "RV {i1}.{i2}"),
+    (r"(?:Hymn|RV|Rigveda)\s+(\d+)\.(\d+)(?:\.(\d+))?", "RV {1}.{2}{.3}"),
+    (r"VS[A-Z]*\s+(\d+)\.(\d+)", "YV {1}.{2}"),
+    (r"(?:YV|Yajurveda|Verse)\s+(\d+)\.(\d+)", "YV {1}.{2}"),
+    (r"PBr\.\s+([0-9]+|[IVX]+)\s*\.\s*(\d+)(?:\s*\.\s*(\d+))?", "PB {r1}.{2}{.3}"),
+    (r"^\s*(\d+)\.\s+(?:By means of|They|The|At|This)", "PB Section {1}"),
+    (r"(?:Satapatha|SB|Brahmana)\s+(\d+)\.(\d+)\.(\d+)(?:\.(\d+))?", "SB {1}.{2}.{3}{.4}"),
+    (r"(?:Mantra|Sukta|Adhyaya)\s+(\d+)", "Unknown Reference"),
+    (r"^#+\s*(?:Hymn|Verse|Sutra|Section|Book|Mandala)\s+(\d+)(?:[:\-]\s*(.+))?", "Hymn {1}{ (2)}"),
+    (r"(?:Book|Canto|Adhyaya)\s+([IVX]+|\d+)", "Book {1}"),
+]
 
 q = lambda s: "'" + s.replace("'", "''") + "'"
 lst = lambda xs: ", ".join(q(x) for x in xs)
@@ -71,11 +140,32 @@ g AS (SELECT sk, relation, ok, min(fact_id) AS first_seq, max(tr) AS trust, min(
 r AS (SELECT *, row_number() OVER (PARTITION BY sk, relation ORDER BY best) AS r FROM g)
 SELECT r.sk AS subject_key, r.relation, r.ok AS object_key, subject, object, coalesce(citations, []) AS citations, trust, first_seq
 FROM r LEFT JOIN c ON r.sk = c.sk AND r.relation = c.relation AND r.ok = c.ok WHERE r.relation NOT IN ({lst(SINGLETONS)}) OR r.r = 1)"""
-LEX = f"""(
-WITH t AS (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z]{{3,}}')) AS token FROM documents)),
-k AS (SELECT token, regexp_replace(replace(replace(replace(token, 'ch', chr(1)), 'c', 'ch'), chr(1), 'chh'), '[^a-z]', '', 'g') AS key FROM t),
+_consonants = "[" + ", ".join(q(c) for c in "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळ") + "]"
+_latin = "[" + ", ".join(q(c) for c in "k kh g gh ṅ c ch j jh ñ ṭ ṭh ḍ ḍh ṇ t th d dh n p ph b bh m y r l v ś ṣ s h ḻ".split()) + "]"
+_vowels = "['अ', 'आ', 'इ', 'ई', 'उ', 'ऊ', 'ऋ', 'ॠ', 'ऌ', 'ॡ', 'ए', 'ऐ', 'ओ', 'औ', 'ा', 'ि', 'ी', 'ु', 'ू', 'ृ', 'ॄ', 'ॢ', 'ॣ', 'े', 'ै', 'ो', 'ौ', 'ं', 'ः', '्']"
+_vowels_latin = "['a', 'ā', 'i', 'ī', 'u', 'ū', 'ṛ', 'ṝ', 'ḷ', 'ḹ', 'e', 'ai', 'o', 'au', 'ā', 'i', 'ī', 'u', 'ū', 'ṛ', 'ṝ', 'ḷ', 'ḹ', 'e', 'ai', 'o', 'au', 'ṃ', 'ḥ', '']"
+
+
+def latin_sql(token: str) -> str:
+    """A token of letters romanised: a consonant carries an a unless a vowel sign or a virama follows."""
+    ch, after = f"substring({token}, i, 1)", f"substring({token}, i + 1, 1)"
+    return (
+        f"array_to_string(list_transform(range(1, length({token}) + 1), lambda i: CASE WHEN list_contains({_consonants}, {ch}) "
+        f"THEN {_latin}[list_position({_consonants}, {ch})] || CASE WHEN regexp_matches({after}, '[ा-ौॢॣ्]') THEN '' ELSE 'a' END "
+        f"ELSE coalesce({_vowels_latin}[list_position({_vowels}, {ch})], {ch}) END), '')"
+    )
+
+
+def lexicon_sql(table: str, text: str) -> str:
+    """A subquery (kind, key, tokens)."""
+    return f"""(
+WITH t AS (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(lower({text}), '[\\p{{L}}][\\p{{L}}\\p{{M}}]+')) AS token FROM {table}) WHERE length(token) >= 3),
+r AS (SELECT token, {latin_sql('token')} AS x FROM t),
+k AS (SELECT token, {SEARCH_KEY.format('x')} AS key FROM r),
 b AS (SELECT 'primary' AS kind, key, token FROM k WHERE length(key) >= 3 UNION ALL SELECT 'skeleton', replace(key, 'sh', 's'), token FROM k WHERE length(key) >= 3)
 SELECT kind, key, list_sort(list_distinct(list(token))) AS tokens FROM b GROUP BY kind, key)"""
+
+
 _lookup_tests = [
     (m, k, i, f"kind = '{('primary', 'skeleton')[k]}' AND " + (f"key = '{c}'", f"starts_with(key, '{c}')", f"contains(key, '{c}')")[m])
     for m in range(3)
@@ -89,9 +179,10 @@ SEARCH_KEY = "trim(lower({0}), ' ')"
 for _k, _v in (("ṝ", "ri"), ("ṛ", "ri"), ("ḹ", "li"), ("ṃ", "m"), ("ṁ", "m"), ("ḥ", ""), ("ś", "sh"), ("ṣ", "sh"), ("ḷ", "l")):
     SEARCH_KEY = f"replace({SEARCH_KEY}, '{_k}', '{_v}')"
 SEARCH_KEY = f"regexp_replace(strip_accents(replace(replace(replace({SEARCH_KEY}, 'ch', chr(1)), 'c', 'ch'), chr(1), 'chh')), '[^a-z]', '', 'g')"
-_first = "split_part(subject, ' ', 1)"
-_sk = SEARCH_KEY.format(_first)
-_rom = f"trim(lower({_first}), ' ')"
+WORDS = f"""(SELECT fact_id, i - 1 AS pos, w[i] AS word FROM (SELECT fact_id, w, unnest(range(1, len(w) + 1)) AS i FROM (
+SELECT fact_id, list_filter(regexp_split_to_array(subject, '{WS}+'), lambda x: x <> '') AS w FROM kg_seed WHERE subject IS NOT NULL)))"""
+_sk = SEARCH_KEY.format("word")
+_rom = "trim(lower(word), ' ')"
 _va = f"replace(replace({_rom}, 'ksh', 'kṣ'), 'sh', 'ś')"
 _vb = f"replace({_va}, 'ch', 'c')"
 SECTIONS = lambda x: f"regexp_extract({x}, '^(.*)\\.\\d+$', 1)"
@@ -140,7 +231,10 @@ NAMES = r"regexp_extract(text, '(?i)\[Names\s*\([^)]*\):\s*([^\]]+)\]', 1)"
 HEAD = r"regexp_extract(text, '(?im)^#+\s*(?:Hymn|Verse|Sutra|Section)?\s*[\d:]*\s*(.+?)$', 1)"
 TITLE = f"CASE WHEN {NAMES} <> '' THEN trim(split_part({NAMES}, ',', 1), ' ') WHEN {HEAD} <> '' THEN trim({HEAD}, ' ') END"
 
+LEX = lexicon_sql("documents", "text")
+
 ORACLE: dict[str, str] = {
+    "lexicon_devanagari": f"SELECT * FROM {lexicon_sql('chunk', 'page_content')}",
     "section_titles": doc(TITLE),
     "citation_labels": f"SELECT doc_id, CASE WHEN c IS NULL THEN 'Passage 1' ELSE concat_ws(' - ', c, t) END AS value FROM (SELECT doc_id, {citation_sql('left(text, 500)')} AS c, {TITLE} AS t FROM documents WHERE text IS NOT NULL)",
     "speech_text": doc(SPEECH),
@@ -180,7 +274,7 @@ FROM {ranked_sql(QUERY, 60)} JOIN documents USING (doc_id)""",
     "source_filter_fallback": f"SELECT doc_id, pos FROM {ranked_sql(QUERY, 60)}",
     "detected_sources": f"""SELECT doc_id, list_filter([CASE WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(vana samhita|vn)($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') THEN 'vanaveda' END, CASE WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(nadi samhita|nd)($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') THEN 'nadiveda' END,
 CASE WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(kapila brahmana|kp)($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') THEN 'kapila_brahmana' END], lambda x: x IS NOT NULL) AS sources,
-len(sources) = 1 AND NOT ({' OR '.join(f'contains(t, {q(w)})' for w in COMPARATIVE)}) AS strict FROM (SELECT doc_id, lower(left(text, 300)) AS t FROM documents WHERE text IS NOT NULL)""",
+len(sources) = 1 AND NOT ({' OR '.join(f'contains(t, {q(w)})' for w in COMPARATIVE)}) AS strict FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)""",
     "variant_union_dedup": f"""SELECT variant, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY left(text, 200) ORDER BY variant, doc_id) AS r FROM (
 {' UNION ALL '.join(f"SELECT {i} AS variant, doc_id, text FROM documents WHERE contains(text, {q(w)})" for i, w in enumerate(('river', 'hymn', 'पुध')))})) WHERE r = 1""",
     "anti_backfill": f"""WITH a AS (SELECT doc_id, text, pos FROM {ranked_sql(QUERY, 15)} JOIN documents USING (doc_id)), m AS (SELECT doc_id, text, pos FROM {ranked_sql('refrain river', 30)} JOIN documents USING (doc_id))
@@ -207,7 +301,8 @@ SELECT token, row_number() OVER (ORDER BY o) - 1 AS pos FROM f JOIN b USING (m)
     "neighbour_window": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS n FROM {LINES})
 SELECT f.file, f.n AS focus_no, r.n AS row_no, r.line_no FROM r JOIN r f ON r.file = f.file AND r.n BETWEEN greatest(0, f.n - 15) AND greatest(0, f.n - 15) + 29 WHERE contains(f.text, 'यमीनः')""",
     "context_expansion": f"""
-WITH h AS (SELECT chunk_id, page_content, row_number() OVER (ORDER BY chunk_id) - 1 AS pos FROM chunk WHERE regexp_matches(page_content, '{VERSE_ID}') ORDER BY chunk_id LIMIT 5),
+WITH z AS (SELECT chunk_id, page_content, 1000 * list_sum([{', '.join(f'CASE WHEN contains(page_content, {q(t)}) THEN 1 ELSE 0 END' for t in SCAN_TERMS)}]) + {' + '.join(TERM_COUNT(t, 'page_content') for t in SCAN_TERMS)} AS score FROM chunk WHERE page_content IS NOT NULL),
+h AS (SELECT chunk_id, page_content, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS pos FROM z WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 15),
 v AS (SELECT pos, i, ids[i] AS vid FROM (SELECT pos, ids, unnest(range(1, len(ids) + 1)) AS i FROM (SELECT pos, regexp_extract_all(page_content, '{VERSE_ID}', 1) AS ids FROM h WHERE pos < 3))),
 s AS (SELECT pos, {SECTIONS('vid')} AS section, min(i) AS i FROM v GROUP BY ALL),
 l AS (SELECT {SECTIONS('vid')} AS section, regexp_extract(vid, '(\\d+)$', 1)::INT AS no, max_by(line, (chunk_id, n)) AS line FROM {CHUNK_LINES} WHERE vid <> '' GROUP BY ALL),
@@ -221,7 +316,7 @@ SELECT subject_key, relation, object_key, max_by(trust, (stated, trust, -first_s
     "kg_nodes": f"WITH e AS (SELECT * FROM {EDGES}) SELECT entity, sum(o)::BIGINT AS out_degree FROM (SELECT subject_key AS entity, 1 AS o FROM e UNION ALL SELECT object_key, 0 FROM e) GROUP BY entity",
     "kg_degree": f"SELECT subject_key, count(*) AS facts FROM {EDGES} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "kg_members": f"SELECT object_key AS dynasty, list_sort(list_distinct(list(subject_key))) AS members FROM {EDGES} WHERE relation = 'member_of_dynasty' GROUP BY 1",
-    "kg_two_hop": f"""WITH RECURSIVE e AS (SELECT subject_key, relation, object_key FROM {EDGES}), st AS (SELECT subject_key FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3),
+    "kg_two_hop": f"""WITH RECURSIVE e AS (SELECT subject_key, relation, object_key FROM {EDGES}), st AS (SELECT DISTINCT {KEY.format('subject')} AS subject_key FROM kg_seed WHERE fact_id % 20 = 0 AND subject IS NOT NULL),
 w AS (SELECT e.*, 1 AS hop FROM e JOIN st USING (subject_key) UNION SELECT e.*, hop + 1 FROM w JOIN e ON e.subject_key = w.object_key WHERE hop < 2)
 SELECT subject_key, relation, object_key, min(hop) AS hop FROM w GROUP BY 1, 2, 3""",
     "kg_context": f"""SELECT subject_key, relation, object_key, '  • ' || subject || ' —[' || relation || ']→ ' || object || CASE WHEN len(citations) > 0 THEN '  [' || array_to_string(citations, ', ') || ']' ELSE '' END
@@ -233,7 +328,7 @@ SELECT 'placed_by' AS relation, 1 AS hop, count(*) AS edges FROM u UNION ALL SEL
     "metadata_override": """WITH c AS (SELECT filename, max(citation) AS summary, min(source) AS first_source FROM documents WHERE filename IS NOT NULL GROUP BY 1)
 SELECT coalesce(c.filename, b.filename) AS filename, title, coalesce(c.summary, b.summary) AS summary, source_url, first_source FROM corpus_metadata b FULL JOIN c ON b.filename = c.filename""",
     "variant_index": f"SELECT * FROM {VARIANT_INDEX}",
-    "canonical_names": f"SELECT coalesce(canonical, t) AS canonical, count(*) AS facts FROM (SELECT split_part(subject, ' ', 1) AS t FROM kg_seed WHERE subject IS NOT NULL) LEFT JOIN {VARIANT_INDEX} ON t = variant GROUP BY 1",
+    "canonical_names": f"SELECT coalesce(canonical, word) AS canonical, count(DISTINCT fact_id) AS facts FROM {WORDS} LEFT JOIN {VARIANT_INDEX} ON word = variant GROUP BY 1",
     "noun_variants": f"SELECT canonical, list_sort(list_distinct(list(f))) AS forms FROM {VARIANTS} GROUP BY 1",
     "noun_context": "SELECT canonical, category, role, context, sources FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY list_position(['given_name', 'place', 'tribe', 'deity'], category)) AS r FROM proper_noun) WHERE r = 1",
     "source_forms": f"SELECT v.canonical, list_sort(list_distinct(list(f))) AS forms FROM {VARIANTS} v WHERE (canonical, category) IN (SELECT (canonical, category) FROM proper_noun WHERE list_contains(sources, 'v01')) GROUP BY 1",
@@ -264,10 +359,10 @@ b AS (SELECT fact_id, list_filter(list_transform(w, lambda x: regexp_replace(x,
 SELECT fact_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), '|') AS value FROM b""",
     "stem_tokens": fact(f"array_to_string(list_transform(list_filter(regexp_split_to_array(subject, '[\\s\\x{{0B}}।॥\\-,.;:!?]+'), lambda x: x <> ''), lambda x: {STEM}), ' ')"),
     "search_keys": fact(SEARCH_KEY.format("subject")),
-    "sandhi_keys": f"""SELECT fact_id, array_to_string(list_filter([k, CASE WHEN starts_with(k, 'i') AND length(k) > 4 THEN 'e' || k[2:] END, CASE WHEN starts_with(k, 'u') AND length(k) > 4 THEN 'o' || k[2:] END,
-CASE WHEN starts_with(k, 'a') AND length(k) > 5 THEN k[2:] END], lambda x: x IS NOT NULL), '|') AS value FROM (SELECT fact_id, {_sk} AS k FROM kg_seed WHERE subject IS NOT NULL)""",
-    "romanisations": f"""SELECT fact_id, array_to_string(CASE WHEN length(a[1]) < 4 THEN a[:1] ELSE list_filter(a, lambda x, i: list_position(a, x) = i) END, '|') AS value FROM (
-SELECT fact_id, [{_rom}, {_va}, {_vb}, replace({_vb}, 'ri', 'ṛ'), replace({_rom}, 'sh', 'ṣ')] AS a FROM kg_seed WHERE subject IS NOT NULL)""",
+    "sandhi_keys": f"""SELECT fact_id, pos, array_to_string(list_filter([k, CASE WHEN starts_with(k, 'i') AND length(k) > 4 THEN 'e' || k[2:] END, CASE WHEN starts_with(k, 'u') AND length(k) > 4 THEN 'o' || k[2:] END,
+CASE WHEN starts_with(k, 'a') AND length(k) > 5 THEN k[2:] END], lambda x: x IS NOT NULL), '|') AS value FROM (SELECT fact_id, pos, {_sk} AS k FROM {WORDS})""",
+    "romanisations": f"""SELECT fact_id, pos, array_to_string(CASE WHEN length(a[1]) < 4 THEN a[:1] ELSE list_filter(a, lambda x, i: list_position(a, x) = i) END, '|') AS value FROM (
+SELECT fact_id, pos, [{_rom}, {_va}, {_vb}, replace({_vb}, 'ri', 'ṛ'), replace({_rom}, 'sh', 'ṣ')] AS a FROM {WORDS})""",
     "plain_latin": fact(f"translate(subject, '{PLAIN_FROM}', '{PLAIN_TO}')"),
     "dictionary_keys": fact("trim(lower(regexp_replace(regexp_replace(subject, '[/\\\\-]', '', 'g'), '[।॥.,;:!?]', '', 'g')), ' ')"),
     "bare_devanagari": doc(r"regexp_replace(text, '[\x{0900}-\x{0903}\x{093C}-\x{094D}\x{0951}-\x{0954}]', '', 'g')"),
@@ -275,7 +370,7 @@ SELECT fact_id, [{_rom}, {_va}, {_vb}, replace({_vb}, 'ri', 'ṛ'), replace({_ro
         r"array_to_string(list_filter(regexp_extract_all(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\([^)]+\)', '', 'g'), '[\p{L}\p{M}\p{N}_]+'), "
         "lambda x: regexp_matches(x, '^[a-zA-Z]{5,}$') AND NOT list_contains(['which', 'there', 'their', 'about', 'other', 'being', 'having', 'called', 'often'], lower(x)))[:5], '|')"
     ),
-    "url_fragments": doc("regexp_replace(translate(lower(left(text, 40)), ' .', '--'), '[^a-z0-9-]', '', 'g')"),
+    "url_fragments": doc("regexp_replace(translate(lower(text), ' .', '--'), '[^a-z0-9-]', '', 'g')"),
     "json_props": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events",
     "visit_counts": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS visits FROM events GROUP BY 1, 2",
     "pinned_turns": """SELECT event_id, last_value(p IGNORE NULLS) OVER (PARTITION BY user_id, u ORDER BY ts, event_id) AS pinned FROM (

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shabdagrid import lineage
 from shabdagrid.functions import citations as C
 from shabdagrid.functions import cleaners
 from shabdagrid.functions import questions as Q
@@ -218,9 +219,11 @@ def neighbour_window(s, d):
 
 @query
 def context_expansion(s, d):
+    """The best substring hits with the sections they touch."""
     c = table(s, d, "chunk").where("page_content is not null").select("chunk_id", "page_content")
-    hits = c.where(F.col("page_content").rlike(lexical.VERSE_ID)).orderBy("chunk_id").limit(5)
-    hits = hits.withColumn("pos", F.row_number().over(Window.orderBy("chunk_id")) - 1)
+    top = lexical.lexical_scores(c, "chunk_id", "page_content", SCAN_TERMS).orderBy(F.col("score").desc(), "chunk_id").limit(search.TOP_K)
+    top = top.withColumn("pos", F.row_number().over(Window.orderBy(F.col("score").desc(), "chunk_id")) - 1)
+    hits = hybrid.held(top.select("chunk_id", "pos").join(c, "chunk_id").select("pos", "chunk_id", "page_content"))
     return context.expand_context(hits, c, "page_content", "pos", ["chunk_id"]).select("pos", "expanded", "page_content")
 
 
@@ -238,7 +241,7 @@ def kg_upsert(s, d):
 
 @query
 def kg_inverse(s, d):
-    return kg.with_inverses(_edges(s, d)).select("subject_key", "relation", "object_key", "trust", "stated")
+    return kg.with_inverses(lineage.cut(_edges(s, d), "edges")).select("subject_key", "relation", "object_key", "trust", "stated")
 
 
 @query
@@ -258,8 +261,9 @@ def kg_members(s, d):
 
 @query
 def kg_two_hop(s, d):
-    e = _edges(s, d)
-    start = kg.degree(e, 3).select(F.col("subject_key").alias("entity"))
+    """Everything within two steps of the subjects of every twentieth fact."""
+    e = lineage.cut(_edges(s, d), "edges")
+    start = table(s, d, "kg_seed").where("fact_id % 20 = 0 and subject is not null").select(kg.entity_key(F.col("subject")).alias("entity"))
     return kg.walk(e, start, 2)
 
 
