@@ -72,6 +72,13 @@ def section_title(text: Column) -> Column:
     return F.coalesce(F.when(names != "", F.trim(F.split(names, ",")[0])), F.when(head != "", F.trim(head)))
 
 
+def from_metadata(meta: dict[str, Column]) -> Column:
+    """Citation from metadata columns: a stored reference, else hymn of a mandala, else verse of an adhyaya, an unknown upper level as '?'."""
+    c = lambda n: meta[n].cast("string") if n in meta else F.lit(None).cast("string")
+    two = lambda work, upper, lower: F.when(c(lower).isNotNull(), F.concat(F.lit(work + " "), F.coalesce(c(upper), F.lit("?")), F.lit("."), c(lower)))
+    return F.coalesce(c("verse_reference"), two("RV", "mandala", "hymn_number"), two("YV", "adhyaya", "verse_number"))
+
+
 def citation_label(text: Column, stored: Column, passage_no: Column) -> Column:
     """The stored citation, else one from the first 500 characters, with the section title; else 'Passage n'."""
     cite = F.coalesce(stored, verse_reference(F.substring(text, 1, 500)))
@@ -85,3 +92,14 @@ def url_fragment(label: Column) -> Column:
 def display_passage(text: Column, label: Column, chars: int = 500) -> Column:
     """Label and the first characters of a passage, as shown; the row keeps the whole text."""
     return F.concat(label, F.lit(":\n"), F.substring(text, 1, chars))
+
+
+def citation_block(hits, text: str, label: str, pos: str = "pos", chars: int = 500):
+    """One row: the passages of a result list with their labels, in order, parted by blank lines."""
+    shown = F.struct(F.col(pos).alias("p"), display_passage(F.col(text), F.col(label), chars).alias("t"))
+    return hits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["t"]), "\n\n").alias("block"))
+
+
+def citation_list(hits, label: str, source: str, pos: str = "pos"):
+    """One row per passage of a result list: its label, source, number from 0, and the fragment it can be linked by."""
+    return hits.select(F.col(label).alias("citation"), F.coalesce(F.col(source), F.lit("Unknown")).alias("source"), F.col(pos).alias("chunk_index"), url_fragment(F.col(label)).alias("url_fragment"))

@@ -28,18 +28,18 @@ def mentions(c: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
 
 
-def query_type(c: Column, pinned: Column | None = None) -> Column:
+def query_type(c: Column, pinned: Column | None = None, construction: list[str] = CONSTRUCTION, grammar: list[str] = GRAMMAR) -> Column:
     """construction, grammar or factual, in this order; a pinned verse makes a question factual."""
-    kind = F.when(mentions(c, CONSTRUCTION), "construction").when(mentions(c, GRAMMAR), "grammar").otherwise("factual")
+    kind = F.when(mentions(c, construction), "construction").when(mentions(c, grammar), "grammar").otherwise("factual")
     return kind if pinned is None else F.when(pinned, "factual").otherwise(kind)
 
 
-def is_follow_up(c: Column) -> Column:
-    return mentions(c, FOLLOW_UP)
+def is_follow_up(c: Column, phrases: list[str] = FOLLOW_UP) -> Column:
+    return mentions(c, phrases)
 
 
-def is_refusal(answer: Column) -> Column:
-    return mentions(answer, REFUSAL)
+def is_refusal(answer: Column, phrases: list[str] = REFUSAL) -> Column:
+    return mentions(answer, phrases)
 
 
 def keyword_expansion(c: Column, rules: list[tuple[list[str], list[str]]]) -> Column:

@@ -207,8 +207,26 @@ def clean_for_speech(c: Column) -> Column:
     return F.when(accent_signature(c).eqNullSafe(accent_signature(t)), t).otherwise(F.when(c.isNotNull(), F.raise_error(F.lit("accent marks were lost"))))
 
 
+# What makes a question one about change over time, and one for all places.
+DIACHRONIC = r"(?i)(earlier|early|later|late|older|newer)[^.?]*\b(vedic|veda|period|layer|mandala|time)|evolv|over time|diachronic|through time|chronolog"
+ASKS = r"(?i)\b(which|what|where|list|all|every|how\s+many|find|show|give|tell|discuss|talk|about|search|name|enumerate|any)\b"
+PLACES = r"(?i)\b(verse|verses|hymn|hymns|mention|mentions|mentioned|contain|contains|occur|occurs|appear|appears|talk|talks|reference|references|passage|passages)\b"
+
+
+def is_diachronic(c: Column) -> Column:
+    return c.rlike(DIACHRONIC)
+
+
+def asks_for_all(c: Column) -> Column:
+    """Whether a question asks where something occurs."""
+    return c.rlike(ASKS) & c.rlike(PLACES)
+
+
 def question_mode(c: Column) -> Column:
     """'diachronic', 'concordance' or 'plain'."""
-    layers = r"(?i)(earlier|early|later|late|older|newer)[^.?]*\b(vedic|veda|period|layer|mandala|time)|evolv|over time|diachronic|through time|chronolog"
-    every = r"(?i)\b(which|all|every|list)\b"
-    return F.when(c.rlike(layers), "diachronic").when(c.rlike(every) & c.rlike(r"(?i)\b(verse|verses|hymn|hymns|passage|passages)\b"), "concordance").otherwise("plain")
+    return F.when(is_diachronic(c), "diachronic").when(asks_for_all(c), "concordance").otherwise("plain")
+
+
+def preprocess_for_embedding(c: Column) -> Column:
+    """Marks removed and tokenised, no stems: the lighter form that is embedded.  '' for blank texts."""
+    return F.array_join(fallback_tokens(strip_devanagari_marks(c)), " ")

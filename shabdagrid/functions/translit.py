@@ -115,3 +115,38 @@ def to_iast(c: Column) -> Column:
 
 def normalize_query(c: Column) -> Column:
     return _per_distinct(query_variants, T.ArrayType(T.StringType()))(c)
+
+
+def expanded(q: str) -> str:
+    """Every word of a query with all its spellings, in order."""
+    return " ".join(v for w in q.split() for v in query_variants(w))
+
+
+def expand_query(c: Column) -> Column:
+    return _per_distinct(expanded, T.StringType())(c)
+
+
+def keep_accents(text: str) -> str:
+    """Devanagari of a romanised text; the text as it is where accent marks would be lost."""
+    marks = [ch for ch in text if ch in _ACCENT_MARKS]
+    out = devanagari(text)
+    return text if marks and not any(ch in _ACCENT_MARKS for ch in out) else out
+
+
+_ACCENT_MARKS = {chr(c) for c in (0x951, 0x952, 0x300, 0x301, 0x302, 0x304, *range(0x1CD0, 0x1D00), *range(0xA8E0, 0xA900))}
+# The blocks of the two scripts are laid out alike: a letter of one stands 0x380 after that of the other.
+_KANNADA = {c: c + 0x380 for c in [*range(0x902, 0x904), *range(0x905, 0x90D), *range(0x90E, 0x911), *range(0x912, 0x929), *range(0x92A, 0x931), *range(0x932, 0x934),
+            *range(0x935, 0x93A), *range(0x93D, 0x945), *range(0x946, 0x949), *range(0x94A, 0x94E), 0x960, 0x961, *range(0x966, 0x970)]}
+
+
+def kannada(text: str) -> str:
+    """Kannada of a Devanagari or romanised text; Kannada stays."""
+    return text if any("\u0c80" <= c <= "\u0cff" for c in text) else keep_accents(text).translate(_KANNADA)
+
+
+def to_devanagari_with_accents(c: Column) -> Column:
+    return _per_distinct(keep_accents, T.StringType())(c)
+
+
+def to_kannada(c: Column) -> Column:
+    return _per_distinct(kannada, T.StringType())(c)

@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_only}"
 
 
+def fresh_name() -> str:
+    """A name that no other run uses."""
+    return uuid.uuid4().hex
+
+
 class Scratch:
     """Written tables of one computation; old ones can be dropped as soon as nothing reads them."""
 

@@ -47,13 +47,11 @@ def noun_expansion(ranked: DataFrame, docs: DataFrame, id_col: str, text: str, n
     Documents already ranked are left out; a document found by two nouns counts for the first.
     """
     head = ranked.where(F.col("pos") < keep).select(id_col, "pos")
-    lists = [search.bm25(docs, id_col, text, forms, keep).withColumn("noun", F.lit(i)) for i, forms in enumerate(nouns[:most])]
+    lists = nouns[:most]
     if not lists:
         return head
-    found = lists[0]
-    for x in lists[1:]:
-        found = found.unionByName(x)
-    found = found.join(ranked.select(id_col), id_col, "left_anti")
+    found = search.bm25_many(docs, id_col, text, lists, max(keep, search.TOP_K)).withColumnRenamed("q", "noun")
+    found = found.drop("pos").join(ranked.select(id_col), id_col, "left_anti")
     first = found.groupBy(id_col).agg(F.min(F.struct("noun", (-F.col("score")).alias("s"))).alias("b"))
     w = Window.partitionBy("b.noun").orderBy("b.s", id_col)
     kept = first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_noun)
@@ -61,6 +59,12 @@ def noun_expansion(ranked: DataFrame, docs: DataFrame, id_col: str, text: str, n
     return head.unionByName(tail)
 
 
+def question_terms(question: Column, lexicon: dict[str, list[str]]) -> Column:
+    """All terms of every lexicon word that occurs in the question, in the order of the lexicon."""
+    low, empty = F.lower(question), F.array().cast("array<string>")
+    return F.flatten(F.array(*[F.when(low.contains(k), F.array(*[F.lit(x) for x in v])).otherwise(empty) for k, v in lexicon.items()]))
+
+
 def enrich(question: Column, lexicon: dict[str, list[str]], most: int = 3) -> Column:
     """The question and the first terms of every lexicon word that occurs in it."""
     low = F.lower(question)

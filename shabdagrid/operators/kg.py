@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shabdagrid.functions.text import strip_accents
+from shabdagrid.functions.text import normalize_latin, strip_accents
 
 # The relations a graph may hold.
 RELATIONS = (
@@ -122,6 +122,26 @@ def walk(e: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
     return found.groupBy("subject_key", "relation", "object_key").agg(F.min("hop").alias("hop"))
 
 
+def mentioned(questions: DataFrame, id_col: str, question: str, names: DataFrame) -> DataFrame:
+    """(id, word, entity) of the words of questions whose plain form is a key of names(key); hyphens and accents do not matter."""
+    w = questions.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(F.col(question), F.lit(r"[\p{L}&&[^\x{0900}-\x{097F}]][\p{L}\p{M}-]{2,}"), F.lit(0)))).alias("word"))
+    w = w.withColumn("_k", normalize_latin(F.col("word")))
+    return w.join(names.select(F.col("key").alias("_k")).distinct(), "_k", "left_semi").select(id_col, "word", entity_key(F.col("word")).alias("entity"))
+
+
+def question_context(questions: DataFrame, id_col: str, question: str, names: DataFrame, e: DataFrame, hops: int = 2) -> DataFrame:
+    """(id, subject_key, relation, object_key, hop, line): the facts within `hops` of the entities a question names.
+
+    Walks all questions together: the frontier is a set of (question, entity) pairs."""
+    frontier = mentioned(questions, id_col, question, names).select(id_col, F.col("entity").alias("subject_key")).distinct()
+    lines, found = context_lines(e), None
+    for hop in range(1, hops + 1):
+        step = lines.join(frontier, "subject_key").select(id_col, "subject_key", "relation", "object_key", "line", F.lit(hop).alias("hop"))
+        found = step if found is None else found.unionByName(step)
+        frontier = step.select(id_col, F.col("object_key").alias("subject_key")).distinct()
+    return found.groupBy(id_col, "subject_key", "relation", "object_key").agg(F.min("hop").alias("hop"), F.first("line").alias("line"))
+
+
 def context_lines(e: DataFrame) -> DataFrame:
     """Edges as lines of an evidence block."""
     cites = F.array_join("citations", ", ")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,48 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: str | list[str], k: int
     return scored if k is None else scored.orderBy(F.col("score").desc(), id_col).limit(k).where("score != 0")
 
 
+def bm25_many(docs: DataFrame, id_col: str, text: str, queries: list[list[str]], k: int = TOP_K) -> DataFrame:
+    """(q, id, score, pos): the top k of every query, a list of terms, as bm25 gives them one by one; q is the query's number.
+
+    One pass for the statistics of all terms and one that scores them all; only the k best of each query leave a partition, as numbers.
+    Meant for the handful of queries that one question becomes.
+    """
+    wanted = [Counter(q) for q in queries]
+    terms = list(dict.fromkeys(w for q in wanted for w in q))
+    kind = docs.schema[id_col].dataType.simpleString()
+    none = docs.sparkSession.createDataFrame([], f"q int, `{id_col}` {kind}, score double, pos int")
+    if not terms:
+        return none
+    t = docs.where(F.col(text).isNotNull()).select(id_col, text, words(F.col(text)).alias("_w"))
+    n, mean_dl, *found = t.agg(F.count(F.lit(1)), F.avg(F.size("_w")), *[F.count_if(F.array_contains("_w", w)) for w in terms]).first()
+    idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in zip(terms, found) if d}
+    if not idf:
+        return none
+    if min(idf.values()) < 0:
+        df = t.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        (mean_idf,) = df.agg(F.avg(F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()
+        idf = {w: v if v >= 0 else EPSILON * mean_idf for w, v in idf.items()}
+    norm = K1 * (1 - B + B * F.size("_w") / F.lit(float(mean_dl)))
+    tf = lambda w: F.size(F.filter("_w", lambda x: x == w)).cast("double")
+    near = reduce(lambda p, q: p | q, [F.col(text).contains(w) for w in idf])
+    weights = {w: F.col(f"_t{i}") * (K1 + 1) / (F.col(f"_t{i}") + norm) * F.lit(v) for i, (w, v) in enumerate(idf.items())}
+    counted = t.where(near).select(id_col, "_w", *[tf(w).alias(f"_t{i}") for i, w in enumerate(idf)])
+    score = lambda q: F.round(sum((F.lit(float(c)) * weights[w] for w, c in q.items() if w in weights), F.lit(0.0)), 9)
+    scored = counted.select(id_col, F.posexplode(F.array(*[score(q) for q in wanted])).alias("q", "score")).where("score != 0").select("q", id_col, "score")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for b in batches:
+            b = b if kept is None else pd.concat([kept, b])
+            kept = b.sort_values(["q", "score", id_col], ascending=[True, False, True]).groupby("q").head(k)
+        if kept is not None:
+            yield kept
+
+    w = Window.partitionBy("q").orderBy(F.col("score").desc(), id_col)
+    part = scored.mapInPandas(best, f"q int, `{id_col}` {kind}, score double")
+    return part.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < k)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two float arrays in doubles; null for a zero vector or different lengths."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -169,6 +212,15 @@ def source_rules(primary: Column, commentary: Column) -> list[tuple[Column, floa
 
 
 TOPIC_FACTOR = 3.0
+
+
+def topic_rules(question: str, topics: list[tuple[list[list[str]], Column]]) -> list[tuple[Column, float]]:
+    """A rule for every topic the question is about: topics are (groups of words, condition on rows), and a question is about one if it
+    has a word of every group."""
+    low = question.lower()
+    return [(rows, TOPIC_FACTOR) for groups, rows in topics if all(any(w in low for w in g) for g in groups)]
+
+
 # Words that make a question comparative wherever they occur in it.
 COMPARATIVE = ["both", "compare", "comparison", "versus", "vs", "between", "earlier", "later", "across", "layers", "evolve", "evolution", "over time", "diachronic"]
 

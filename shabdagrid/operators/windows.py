@@ -55,20 +55,52 @@ def last_known(df: DataFrame, group: list[str], order: list[str], value: str, ou
 
 
 def run_id(df: DataFrame, group: list[str], order: list[str], key: Column, out: str = "run", block: Column | None = None) -> DataFrame:
-    """Number of the run of equal keys a row belongs to; a key that returns later starts a new run.  Nulls equal nulls."""
-    x = last_known(df.withColumn("__w_k", F.struct(key.alias("k"))), group, order, "__w_k", "__w_prev", block, before=True)
-    x = x.withColumn("__w_c", F.col("__w_prev").isNull() | ~F.col("__w_prev.k").eqNullSafe(F.col("__w_k.k")))
-    return running_count(x, group, order, F.col("__w_c"), out, block=block).drop("__w_k", "__w_prev", "__w_c")
+    """Number of the run of equal keys a row belongs to; a key that returns later starts a new run.  Nulls equal nulls.
+
+    One scan by block counts the changes inside it; its first and last key tell whether it goes on with the run before."""
+    x = df.withColumn("__w_b", F.lit(0) if block is None else block).withColumn("__w_k", F.struct(key.alias("k")))
+    keys = [*group, "__w_b"]
+    w = _w(keys, order)
+    prev = F.lag("__w_k").over(w)
+    x = x.withColumn("__w_c", (prev.isNotNull() & ~prev["k"].eqNullSafe(F.col("__w_k.k"))).cast("long"))
+    x = x.withColumn("__w_n", F.sum("__w_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if block is None:
+        return x.withColumn(out, F.col("__w_n") + 1).drop("__w_b", "__w_k", "__w_c", "__w_n")
+    at = F.struct(*order)
+    sums = x.groupBy(*keys).agg(F.sum("__w_c").alias("__w_t"), F.min_by("__w_k", at).alias("__w_a"), F.max_by("__w_k", at).alias("__w_z"))
+    g = _w(group, ["__w_b"])
+    before = F.lag("__w_z").over(g)
+    sums = sums.withColumn("__w_o", (before.isNull() | ~before["k"].eqNullSafe(F.col("__w_a.k"))).cast("long"))
+    upto = F.sum(F.col("__w_t") + F.col("__w_o")).over(g.rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumn("__w_p", upto - F.col("__w_t")).select(*keys, "__w_p")
+    return _join(x, sums, keys).withColumn(out, F.col("__w_n") + F.col("__w_p")).drop("__w_b", "__w_k", "__w_c", "__w_n", "__w_p")
 
 
 def carry_forward(df: DataFrame, group: list[str], order: list[str], levels: list[str], block: Column | None = None) -> DataFrame:
-    """Every level filled with its last known value; a lower level is forgotten when a level above it is set anew."""
-    scope = list(group)
-    for level in levels:
-        df = running_count(df, scope, order, F.col(level).isNotNull(), f"_g_{level}", block=block)
-        df = last_known(df, scope, order, level, "_filled", block).drop(level).withColumnRenamed("_filled", level)
-        scope = [*scope, f"_g_{level}"]
-    return df.drop(*[f"_g_{x}" for x in levels])
+    """Every level filled with its last known value; a lower level is forgotten when a level above it is set anew.
+
+    One scan finds for every level where it was set last and to what; a value stands if no level above was set after it."""
+    at = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
+    x = df.withColumn("__w_b", F.lit(0) if block is None else block)
+    keys = [*group, "__w_b"]
+    for n, level in enumerate(levels):
+        x = x.withColumn(f"__w_s{n}", F.when(F.col(level).isNotNull(), F.struct(F.struct(*at).alias("at"), F.col(level).alias("v"))))
+    w = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    ns = range(len(levels))
+    y = x.select("*", *[F.last(f"__w_s{n}", ignorenulls=True).over(w).alias(f"__w_l{n}") for n in ns])
+    if block is not None:
+        sums = x.groupBy(*keys).agg(*[F.max_by(f"__w_s{n}", F.col(f"__w_s{n}.at")).alias(f"__w_m{n}") for n in ns])
+        prior = _w(group, ["__w_b"]).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(*keys, *[F.last(f"__w_m{n}", ignorenulls=True).over(prior).alias(f"__w_p{n}") for n in ns])
+        y = _join(y, sums, keys).select("*", *[F.coalesce(f"__w_l{n}", f"__w_p{n}").alias(f"__w_f{n}") for n in ns])
+    last = "__w_l" if block is None else "__w_f"
+    filled = {}
+    for n, level in enumerate(levels):
+        stands = F.lit(True)
+        for above in range(n):
+            stands = stands & F.coalesce(F.col(f"{last}{above}.at") <= F.col(f"{last}{n}.at"), F.lit(True))
+        filled[level] = F.when(stands, F.col(f"{last}{n}.v"))
+    return y.select(*[filled.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
 def reset_counter(df: DataFrame, group: list[str], order: list[str], key: Column, out: str, block: Column | None = None) -> DataFrame:

@@ -328,11 +328,6 @@ def noun_context(s, d):
     return lookup.noun_context(table(s, d, "proper_noun"))
 
 
-@query
-def source_forms(s, d):
-    return lookup.source_forms(table(s, d, "proper_noun"), "v01")
-
-
 @query
 def source_names(s, d):
     c = table(s, d, "chunk").select(F.col("metadata.veda").alias("veda"), F.col("metadata.title").alias("title"))

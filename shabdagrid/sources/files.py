@@ -27,10 +27,11 @@ def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return m.withColumn("base", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_metadata\.json$", 1))
 
 
-def load_documents(spark: SparkSession, folder: str) -> DataFrame:
+def load_documents(spark: SparkSession, folder: str, one_level: bool = False, titles: DataFrame | None = None) -> DataFrame:
     """One document per text file with the metadata of its own name or of its folder's; .md goes before .txt.
 
-    Files of a folder with one metadata record, such as book_01.md, inherit it with `book` set from their number.
+    Files of a folder with one metadata record, such as book_01.md, inherit it with `book` set from their number; titles(base, title)
+    replace the inherited title of such files.  With `one_level` only texts named as their folder count, so that folders of several files drop out.
     """
     t = read_texts(spark, folder).withColumn("folder", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     w = Window.partitionBy(F.regexp_replace("path", r"\.(md|txt)$", "")).orderBy("ext")
@@ -39,12 +40,44 @@ def load_documents(spark: SparkSession, folder: str) -> DataFrame:
     own = t.join(m, "base").withColumn("book", F.lit(None).cast("int"))
     rest = t.join(m.select("base"), "base", "left_anti")
     shared = rest.join(m.withColumnRenamed("base", "folder"), "folder").withColumn("book", F.regexp_extract("base", r"_(\d+)$", 1).try_cast("int"))
-    return own.unionByName(shared, allowMissingColumns=True)
+    if titles is not None:
+        named = titles.select("base", F.col("title").alias("_title"))
+        shared = shared.join(named, "base", "left").withColumn("title", F.coalesce("_title", "title")).drop("_title")
+    out = own.unionByName(shared, allowMissingColumns=True)
+    return out.where(F.col("base") == F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)) if one_level else out
+
+
+def read_hymn_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(mandala, line_no, text) of index files whose names end in the number of the mandala."""
+    t = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.[a-z]+$", 1).try_cast("int").alias("mandala"), "value")
+    return t.where("mandala is not null").select("mandala", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
+
+
+def rewrite_with_backup(df: DataFrame, path: str) -> None:
+    """Replace the table at path; what stood there is kept as path.bak, and put back if the writing fails."""
+    spark = df.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    old, bak, new = fs_path(path), fs_path(path + ".bak"), fs_path(path + ".new")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(path + ".new")
+    if fs.exists(old):
+        fs.delete(bak, True)
+        fs.rename(old, bak)
+    if not fs.rename(new, old):
+        fs.rename(bak, old)
+        raise OSError(f"{path} could not be replaced")
+
+
+def write_records(df: DataFrame, path: str) -> None:
+    """Records as JSON, one object a line: transcripts, mirrors."""
+    df.write.mode("overwrite").json(path)
 
 
 def unpaired_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts without metadata, for the quarantine count."""
-    return read_texts(spark, folder).select("path").join(load_documents(spark, folder).select("path"), "path", "left_anti")
+    """Texts without metadata, for the quarantine count; a .txt beside a .md of the same name is paired with it."""
+    bare = F.regexp_replace("path", r"\.(md|txt)$", "")
+    known = load_documents(spark, folder).select(bare.alias("_p"))
+    return read_texts(spark, folder).select("path", bare.alias("_p")).join(known, "_p", "left_anti").select("path")
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,13 +87,18 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return b.select("path", F.coalesce(utf8, F.decode("content", "ISO-8859-1")).alias("text"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp)
+
+
 def read_json_with_fallback(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """The first of the paths that exists; an empty table if none does."""
-    conf = spark._jsc.hadoopConfiguration()
+    """The first of the paths that exists and holds a record; an empty table if none does."""
     for p in paths:
-        jp = spark._jvm.org.apache.hadoop.fs.Path(p)
-        if jp.getFileSystem(conf).exists(jp):
-            return spark.read.schema(schema).option("multiLine", "true").json(p)
+        if path_exists(spark, p):
+            t = spark.read.schema(schema).option("multiLine", "true").json(p)
+            if not t.isEmpty():
+                return t
     return spark.createDataFrame([], schema)
 
 
@@ -122,8 +160,7 @@ def metadata_rows(spark: SparkSession, records: list[dict]) -> DataFrame:
 
 def ensure_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
     """The table at path; built where it is absent, empty or to be rebuilt."""
-    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not rebuild and jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp):
+    if not rebuild and path_exists(spark, path):
         t = spark.read.parquet(path)
         if not t.isEmpty():
             return t

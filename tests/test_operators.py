@@ -162,8 +162,10 @@ def test_lookup_chain(spark):
     t = spark.createDataFrame([("Agni,", "x"), ("अग्नि", "agni"), ("none", "none")], "term string, iast string")
     got = {r["term"]: r for r in lookup.concept_lookup(t, "term", idx, con, "iast").collect()}
     assert got["Agni,"]["found"] and got["अग्नि"]["found"] and not got["none"]["found"] and got["none"]["definitions"] == []
-    q = {r["term"]: r["query"] for r in lookup.expanded_query(lookup.concept_lookup(t, "term", idx, con, "iast"), "term").collect()}
-    assert q["अग्नि"] == "अग्नि agni Agni burning kindled"
+    qs = spark.createDataFrame([(1, "to Agni, agni none"), (2, "none of it"), (3, None), (4, "")], "id int, q string")
+    got = {r["id"]: r["expanded"] for r in lookup.expand_queries(qs, "id", "q", idx, con).collect()}
+    # two key words, then two variants, once each
+    assert got == {1: "to Agni, agni none burning kindled agni Agni", 2: "none of it", 3: "", 4: ""}
 
 
 def test_disambiguation_and_translation(spark):
