@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +61,15 @@ class Scratch:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """One-off Scratch.cut."""
     return Scratch(df.sparkSession, name).cut(df)
+
+
+def clean(spark: SparkSession, older_than: float = 86_400) -> int:
+    """Delete tables that computations left in the shared folder and that nothing has written to for `older_than` seconds; their number.
+
+    A result reads such tables until it has been written itself, so none is deleted when its computation ends."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/shabdagrid")
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return 0
+    old = [s.getPath() for s in fs.listStatus(base) if s.getModificationTime() < (time.time() - older_than) * 1000]
+    return sum(bool(fs.delete(p, True)) for p in old)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shabdagrid.functions.text import search_key
 from shabdagrid.functions.translit import to_iast
+from shabdagrid.lineage import cut
 
 RARE_MIN, RARE_SHARE, RARE_TERMS = 50, 100, 6
 
@@ -92,9 +93,8 @@ def concordance(docs: DataFrame, text: str, terms: list[str], pos: list[str], li
     has = lambda c: F.lit(False) if not terms else F.col(c).rlike("|".join(r"\Q" + t + r"\E" for t in terms))
     v = verse_lines(docs.where(has(text)), text, pos, strict).where(has("line"))
     first = v.groupBy("corpus", "path", "vid").agg(F.min_by("line", F.struct(*pos, "_n")).alias("line"))
-    # one row with the count, joined back: a window over everything would be one task
-    one = first.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    out = first.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
+    first = cut(first, "concordance")  # listed and counted from one scan of the corpus
+    out = first.withColumn("total", F.lit(first.count()))
     return out if limit is None else out.orderBy("corpus", "path").limit(limit)
 
 

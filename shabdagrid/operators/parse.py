@@ -201,10 +201,16 @@ def chunk_documents(docs: DataFrame, id_col: str, text: str, size: int = 512, ov
     return docs.select(id_col, text).mapInPandas(run, f"`{id_col}` {kind}, pos int, page_content string, original_content_length int")
 
 
-def emit_sections(verses: DataFrame, group: list[str], section: list[str], order: list[str], header, line) -> DataFrame:
-    """(group, text): a file's verses as lines, a header line before each change of section."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    key = F.concat_ws("\u0001", *section)
-    x = verses.withColumn("_n", F.row_number().over(w)).withColumn("_h", F.when(~F.lag(key).over(w).eqNullSafe(key), F.concat(F.lit("\n"), header, F.lit("\n\n"))).otherwise(""))
-    x = x.withColumn("_l", F.concat("_h", line, F.lit("\n")))
-    return x.groupBy(*group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_l"))), lambda s: s["_l"]), "").alias("text"))
+def emit_sections(verses: DataFrame, group: list[str], section: list[str], order: list[str], header, line, block=None) -> DataFrame:
+    """(group, block, text): a file's verses as lines, a header line before each change of section, one row for each block of its lines.
+
+    Where a section starts is told by the numbers of its runs, so that blocks are scanned in parallel and none repeats a header."""
+    b = F.lit(0) if block is None else block
+    r = run_id(verses, group, order, F.concat_ws("\u0001", *section), "_run", block)
+    at = F.struct(*order)
+    heads = r.groupBy(*group, "_run").agg(F.min_by(F.struct(*order, b.cast("long").alias("block"), header.alias("_h")), at).alias("f"))
+    heads = heads.select(*group, "f.block", *[F.col(f"f.{o}").alias(o) for o in order], F.lit(0).alias("_p"), F.concat(F.lit("\n"), F.col("f._h"), F.lit("\n\n")).alias("_l"))
+    lines = r.select(*group, b.cast("long").alias("block"), *order, F.lit(1).alias("_p"), F.concat(line, F.lit("\n")).alias("_l"))
+    cells = F.collect_list(F.struct(*order, "_p", "_l"))
+    g = lines.unionByName(heads).groupBy(*group, "block").agg(F.array_sort(cells).alias("c"))
+    return g.select(*group, "block", F.array_join(F.transform("c", lambda x: x["_l"]), "").alias("text"))

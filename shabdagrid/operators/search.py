@@ -61,6 +61,44 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: str | list[str], k: int
     return scored if k is None else scored.orderBy(F.col("score").desc(), id_col).limit(k).where("score != 0")
 
 
+def index_tables(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, terms, stats): postings(id, term, tf, dl) for scans of single terms, terms(term, df), and one row (n, mean_dl, mean_idf)."""
+    p = postings(docs, id_col, text)
+    n = docs.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words(F.col(text)))).alias("mean_dl"))
+    terms = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    one = n.withColumn("_k", F.lit(1))
+    # numbers of documents with a term are few: the idf is taken once for each of them
+    by_df = terms.groupBy("df").agg(F.count(F.lit(1)).alias("k")).withColumn("_k", F.lit(1)).join(one, "_k")
+    idf = (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)) * F.col("k")
+    mean = by_df.agg((F.sum(idf) / F.sum("k")).alias("mean_idf"))
+    return p, terms, one.join(mean.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+
+
+def write_index(docs: DataFrame, id_col: str, text: str, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index as tables; postings are sorted by term within their files, so that a query skips what it does not need."""
+    spark, out = docs.sparkSession, []
+    for name, t in zip(("postings", "terms", "stats"), index_tables(docs, id_col, text)):
+        t = t.repartition("term").sortWithinPartitions("term", id_col) if name == "postings" else t
+        t.write.mode("overwrite").parquet(f"{path}/{name}")
+        out.append(spark.read.parquet(f"{path}/{name}"))
+    return tuple(out)
+
+
+def bm25_indexed(index: tuple[DataFrame, DataFrame, DataFrame], id_col: str, query: str | list[str], k: int = TOP_K) -> DataFrame:
+    """(id, score) as bm25 gives them, from the tables of write_index: reads the postings of the query's terms and no text."""
+    post, terms, stats = index
+    wanted = Counter(query.split() if isinstance(query, str) else query)
+    s = stats.first()
+    idf = {r["term"]: math.log(s["n"] - r["df"] + 0.5) - math.log(r["df"] + 0.5) for r in terms.where(F.col("term").isin(list(wanted))).collect()}
+    if not idf:
+        return post.limit(0).select(id_col, F.lit(0.0).alias("score"))
+    weight = F.create_map(*[x for w, v in idf.items() for x in (F.lit(w), F.lit(wanted[w] * (v if v >= 0 else EPSILON * s["mean_idf"])))])
+    tf = F.col("tf").cast("double")
+    part = weight[F.col("term")] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(s["mean_dl"]))))
+    g = post.where(F.col("term").isin(list(idf))).groupBy(id_col).agg(F.round(F.sum(part), 9).alias("score"))
+    return g.orderBy(F.col("score").desc(), id_col).limit(k).where("score != 0")
+
+
 def bm25_many(docs: DataFrame, id_col: str, text: str, queries: list[list[str]], k: int = TOP_K) -> DataFrame:
     """(q, id, score, pos): the top k of every query, a list of terms, as bm25 gives them one by one; q is the query's number.
 
@@ -112,9 +150,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 def dense_topk(vectors: DataFrame, id_col: str, vector: str, query: list[float], k: int = TOP_K, where: Column | None = None) -> DataFrame:
     """(id, score) of the k nearest vectors by cosine; a filter is applied before the ranking.  Ties go to the lower id."""
-    q = F.array(*[F.lit(float(x)) for x in query])
+    q, v = F.array(*[F.lit(float(x)) for x in query]), F.col(vector)
+    length = math.sqrt(sum(float(x) ** 2 for x in query))
     rows = vectors if where is None else vectors.where(where)
-    s = rows.select(id_col, F.round(cosine(F.col(vector), q), 6).alias("score")).where(F.col("score").isNotNull())
+    both = F.aggregate(  # product with the query and square in one pass over the vector
+        F.zip_with(v, q, lambda x, y: F.struct(x.cast("double").alias("x"), y.alias("y"))),
+        F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("s")),
+        lambda a, e: F.struct((a["p"] + e["x"] * e["y"]).alias("p"), (a["s"] + e["x"] * e["x"]).alias("s")),
+    )
+    r = rows.where(F.size(v) == len(query)).select(id_col, both.alias("b"))
+    s = r.where("b.s > 0").select(id_col, F.round(F.col("b.p") / (F.sqrt("b.s") * F.lit(length)), 6).alias("score")).where(F.col("score").isNotNull())
+    s = s if length > 0 else s.limit(0)
     return s.orderBy(F.col("score").desc(), id_col).limit(k)
 
 

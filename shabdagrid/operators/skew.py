@@ -1,13 +1,13 @@
 """Grouping and lookup operators that stay balanced when one key holds a third of all rows.
 
 The common device is a salt computed from a row's own id.  Per-key facts are first aggregated by
-(key, salt), so no task sees more than 1/SALTS of a hot key, then by key over at most SALTS rows each, and
+(key, salt), so no task sees more than one part in salts_for() of a hot key, then by key over as many rows at most, and
 come back to the rows through a join on (key, salt).  Nothing is dropped, capped or broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 32
@@ -21,13 +21,19 @@ def hash128(*cols: Column | str) -> Column:
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("\u0001seed"), *cols).alias("b"))
 
 
+def salts_for(spark: SparkSession) -> int:
+    """A quarter of the shuffle partitions, SALTS at least: a key that holds a third of all rows then fills tasks no larger than a few
+    others', however large the cluster is set up for."""
+    return max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
 def salt_of(id_col: str, salts: int = SALTS) -> Column:
     """A salt fixed by the row's id, so that a recomputed task gives the same one."""
     return F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(salts)).cast("int")
 
 
 def with_group(
-    df: DataFrame, keys: list[str], id_col: str, aggs: dict[str, tuple[Column, str]], at_least: int = 1, salts: int = SALTS
+    df: DataFrame, keys: list[str], id_col: str, aggs: dict[str, tuple[Column, str]], at_least: int = 1, salts: int | None = None
 ) -> DataFrame:
     """Rows of df with per-key aggregates attached, for keys that have at_least rows.
 
@@ -35,7 +41,7 @@ def with_group(
     number of rows of the key is always added.  Rows with a null key part form groups of their own (nulls equal).
     """
     fold = {"min": F.min, "max": F.max, "sum": F.sum}
-    salted = df.withColumn("_salt", salt_of(id_col, salts))
+    salted = df.withColumn("_salt", salt_of(id_col, salts or salts_for(df.sparkSession)))
     part = salted.groupBy(*keys, "_salt").agg(
         F.count(F.lit(1)).alias("group_rows"), *[fold[how](e).alias(n) for n, (e, how) in aggs.items()]
     )
@@ -59,13 +65,13 @@ def with_group(
     )
 
 
-def lookup(df: DataFrame, key: str, right: DataFrame, right_key: str, values: list[str], id_col: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def lookup(df: DataFrame, key: str, right: DataFrame, right_key: str, values: list[str], id_col: str, how: str = "inner", salts: int | None = None) -> DataFrame:
     """Join values of `right`, which is unique by right_key, to df on a key that may be hot in df.
 
     The distinct (key, salt) pairs of df, at most `salts` per key, take the values first; df then joins them on
     (key, salt).  A null key finds nothing.
     """
-    salted = df.withColumn("_salt", salt_of(id_col, salts))
+    salted = df.withColumn("_salt", salt_of(id_col, salts or salts_for(df.sparkSession)))
     pairs = salted.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("_salt").alias("_s")).distinct()
     found = pairs.join(right.select(F.col(right_key).alias("_k"), *values), "_k")
     out = salted.join(found, (salted[key] == found["_k"]) & (salted["_salt"] == found["_s"]), how)

@@ -252,6 +252,7 @@ ORACLE: dict[str, str] = {
     "enriched_chunks": f"""SELECT chunk_id, CASE WHEN regexp_matches(page_content, '{DEVANAGARI}') THEN 'sanskrit' END AS preprocessing,
 CASE WHEN regexp_matches(page_content, '{DEVANAGARI}') THEN length(page_content) END AS original_content_length, page_content FROM chunk""",
     "bm25_topk": f"SELECT * FROM {bm25_sql(QUERY, 15)}",
+    "bm25_indexed": f"SELECT * FROM {bm25_sql(QUERY, 15)}",
     "dense_topk": f"SELECT * FROM {dense_sql()}",
     "dense_topk_filtered": f"SELECT * FROM {dense_sql('label = 1')}",
     "rank_fusion": f"""SELECT (SELECT min(doc_id) FROM documents x WHERE x.text = f.text) AS doc_id, score, arrival
@@ -349,8 +350,8 @@ SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, even
 SELECT file, h, line_no, coalesce(lead(line_no) OVER (PARTITION BY file ORDER BY line_no), e) AS span_end FROM l JOIN m USING (file) WHERE h IS NOT NULL""",
     "file_dedup": f"""WITH t AS (SELECT file, string_agg(text, chr(10) ORDER BY line_no) AS t, count(text) AS lines FROM {LINES} WHERE text IS NOT NULL GROUP BY 1)
 SELECT file, min(file) OVER (PARTITION BY t) AS first_file, lines FROM t""",
-    "section_sink": f"""SELECT file, string_agg(CASE WHEN k IS DISTINCT FROM pk THEN chr(10) || '## ' || k || chr(10) || chr(10) ELSE '' END || text || chr(10), '' ORDER BY line_no) AS text FROM (
-SELECT *, lag(k) OVER (PARTITION BY file ORDER BY line_no) AS pk FROM (SELECT *, book || '.' || hymn AS k FROM {VERSES})) GROUP BY 1""",
+    "section_sink": f"""SELECT file, line_no // 50000 AS block, string_agg(CASE WHEN k IS DISTINCT FROM pk THEN chr(10) || '## ' || k || chr(10) || chr(10) ELSE '' END || text || chr(10), '' ORDER BY line_no) AS text FROM (
+SELECT *, lag(k) OVER (PARTITION BY file ORDER BY line_no) AS pk FROM (SELECT *, book || '.' || hymn AS k FROM {VERSES})) GROUP BY 1, 2""",
     "book_headers": r"SELECT doc_id, coalesce(regexp_extract(text, '#\s+Book\s+([IVXLC]+)\.', 1)) AS book, regexp_extract(text, '##\s+Canto\s+([IVXLC]+)\.', 1) AS canto, regexp_extract(text, '(?m)^\s*(\d+)\.\s+', 1) AS section FROM documents",
     "script_ratio": doc(f"CASE WHEN length(text) = 0 THEN 0.0 ELSE round((length(left(text, 1000)) - length(regexp_replace(left(text, 1000), '{DEVANAGARI}', '', 'g'))) / length(left(text, 1000)), 6) END"),
     "script_flags": doc(f"concat_ws(',', regexp_matches(text, '{DEVANAGARI}')::VARCHAR, regexp_matches(lower(text), '[{IAST_LETTERS}]')::VARCHAR, (NOT regexp_matches(text, '{DEVANAGARI}') AND NOT regexp_matches(lower(text), '[{IAST_LETTERS}]'))::VARCHAR)"),

@@ -46,6 +46,13 @@ def bm25_topk(s, d):
     return search.bm25(_docs(s, d), "doc_id", "text", QUERY)
 
 
+@query
+def bm25_indexed(s, d):
+    """The same search from index tables, written first."""
+    index = search.write_index(_docs(s, d), "doc_id", "text", f"{lineage.shared_dir(s)}/shabdagrid/index-{lineage.fresh_name()}")
+    return search.bm25_indexed(index, "doc_id", QUERY)
+
+
 @query
 def dense_topk(s, d):
     return search.dense_topk(table(s, d, "embeddings"), "vec_id", "embedding", _vector(s, d))
@@ -412,7 +419,7 @@ def file_dedup(s, d):
 def section_sink(s, d):
     """Every file as Markdown with a header before each hymn."""
     v = ingest.verses(ingest.current_lines(table(s, d, "corpus_line")))
-    return parse.emit_sections(v, ["file"], ["book", "hymn"], ["line_no"], F.concat_ws(".", F.concat(F.lit("## "), F.col("book").cast("string")), F.col("hymn").cast("string")), F.col("text"))
+    return parse.emit_sections(v, ["file"], ["book", "hymn"], ["line_no"], F.concat_ws(".", F.concat(F.lit("## "), F.col("book").cast("string")), F.col("hymn").cast("string")), F.col("text"), parse.line_block())
 
 
 @query
@@ -526,7 +533,7 @@ def visit_counts(s, d):
 @query
 def pinned_turns(s, d):
     e = table(s, d, "events")
-    return turns.pinned(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id")), F.col("event_type") == "error").select("event_id", "pinned")
+    return turns.pinned(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id")), F.col("event_type") == "error", block=F.to_date("ts")).select("event_id", "pinned")
 
 
 @query

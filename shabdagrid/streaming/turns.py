@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shabdagrid.operators.windows import carry_forward
 
-def pinned(turns: DataFrame, session: list[str], order: list[str], pin: Column, unpin: Column, out: str = "pinned") -> DataFrame:
-    """turns with the value pinned at each of them: the last pin, until a turn unpins it.  A pin on an unpinning turn counts."""
-    w = Window.partitionBy(*session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    t = turns.withColumn("_u", F.sum(unpin.cast("int")).over(w)).withColumn("_p", pin)
-    w2 = Window.partitionBy(*session, "_u").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn(out, F.last("_p", True).over(w2)).drop("_u", "_p")
+
+def pinned(turns: DataFrame, session: list[str], order: list[str], pin: Column, unpin: Column, out: str = "pinned", block: Column | None = None) -> DataFrame:
+    """turns with the value pinned at each of them: the last pin, until a turn unpins it.  A pin on an unpinning turn counts.
+
+    An unpinning is a level above the pin, which it makes forget; with `block` a long session is scanned in parallel."""
+    t = turns.withColumn("__t_u", F.when(unpin, F.lit(1))).withColumn("__t_p", pin)
+    return carry_forward(t, session, order, ["__t_u", "__t_p"], block).withColumnRenamed("__t_p", out).drop("__t_u")
 
 
 def visit_counts(events: DataFrame, ts: str, kind: str, late: str = "1 day", window: str = "1 day") -> DataFrame:
