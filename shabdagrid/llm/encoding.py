@@ -1,7 +1,7 @@
 """Problem 7: exact ids of every text in a public byte-level BPE vocabulary.
 
-Method: per-prefix dynamic programming.  An automaton over the vocabulary, whose suffix links list every token that ends
-at a position, proposes the last token of each prefix; exactly one proposal is pair-compatible with the last token of the prefix
+Method: per-prefix dynamic programming.  An automaton over the vocabulary (of Aho and Corasick: its suffix links list every token that
+ends at a position) proposes the last token of each prefix; exactly one proposal is pair-compatible with the last token of the prefix
 before it, and that one is stored.  Following the stored tokens back from the end gives the ids.  No merge is ever simulated.
 
 The work is done once per distinct word in every Python worker: a text is a sequence of units (an optional space and a run
@@ -14,6 +14,7 @@ Defined results: null, empty text -> []; strings that look like special tokens a
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,11 +142,25 @@ def unit_ids(path: str) -> UnitIds:
     return UnitIds(path)
 
 
+def shipped(df: DataFrame, path: str) -> str:
+    """The name under which executors find the vocabulary: it travels with the job wherever the driver can read it."""
+    if os.path.exists(path):
+        df.sparkSession.sparkContext.addFile(path)
+    return path
+
+
+def _found(path: str) -> str:
+    """The vocabulary on this machine: the file of the job, else the path itself."""
+    own = SparkFiles.get(os.path.basename(path))
+    return own if os.path.exists(own) else path
+
+
 def encode_texts(df: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id_col, ids) for every row of df; the vocabulary file must be readable at this path on every executor."""
+    """(id_col, ids) for every row of df; the driver or every executor must be able to read the vocabulary at this path."""
+    vocabulary = shipped(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = unit_ids(vocabulary)
+        units = unit_ids(_found(vocabulary))
         for b in batches:
             packed = [units.text(t) for t in b.column(1).to_pylist()]
             offsets = np.zeros(len(packed) + 1, dtype=np.int32)
@@ -158,9 +174,10 @@ def encode_texts(df: DataFrame, id_col: str, text: str, vocabulary: str = VOCABU
 
 def count_tokens(df: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id_col, n_tokens) for every row of df."""
+    vocabulary = shipped(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = unit_ids(vocabulary)
+        units = unit_ids(_found(vocabulary))
         for b in batches:
             n = [len(units.text(t)) // 4 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
