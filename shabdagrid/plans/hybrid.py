@@ -180,8 +180,10 @@ def retrieve(index: Index, q: Question, rows: int = FINAL_ROWS) -> DataFrame:
         lex = lexical.lexical_hits(docs, key, txt, q.terms, max(3, k // 3)).withColumnRenamed("score", "lex").withColumnRenamed("pos", "lp")
         lex = lex.join(docs, key).withColumn("score", F.col("lex").cast("double")).withColumn("arrival", F.lit(0).cast("long")).withColumn("pos", F.col("lp") - 1000).drop("lex", "lp")
         hits = renumber(lex.unionByName(hits.join(lex.select(key), key, "left_anti")), "pos")
-    hits = held(hits)
-    hits = context.expand_context(hits, docs, txt, "pos", [key]).drop("expanded")
+    listed = hits.collect()
+    hits = docs.sparkSession.createDataFrame(listed, hits.schema)
+    if any(re.search(lexical.VERSE_ID, r[txt]) for r in listed if r["pos"] < context.MAX_EXPAND):
+        hits = context.expand_context(hits, docs, txt, "pos", [key]).drop("expanded")
     if q.terms and f["all"]:
         lines = lexical.concordance(docs, txt, q.terms, [key], limit=CONCORDANCE_ROWS).orderBy("corpus", "path").collect()
         if lines:
