@@ -121,4 +121,27 @@ SELECT DISTINCT sk AS subject_key, relation, ok AS object_key FROM f WHERE (sk,
 ('AB', '7.1.1', 'हरिश्चन्द्रो ह'), ('AB', '7.1.2', 'तस्य ह'), ('VS', '1.1', 'इषे त्वा ऊर्जे त्वा'), ('VS', '1.2', 'वसोः पवित्रम्'), ('TS', '1.1.1.1', 'इषे त्वा ऊर्जे त्वा'), ('TS', '1.1.2.1', 'यज्ञस्य घोषद् असि')) v(work, address, text)""",
     "edition_markdown": """SELECT * FROM (VALUES ('7/1/1/0', '# AB 7'), ('7/1/1/1', '## AB 7.1'), ('7/1/1/2', 'हरिश्चन्द्रो ह ॥ AB 7.1.1 ॥'), ('7/1/2/2', 'तस्य ह ॥ AB 7.1.2 ॥')) v(line_no, text)""",
     "edition_chunks": """SELECT 'rv' AS filename, '1.1' AS section, 0 AS pos, '## RV 1.1' || chr(10) || chr(10) || 'अग्निम् ईऌए । पुरोहितम् ॥ RV 1.1.1 ॥' || chr(10) || 'होतारम् ॥ RV 1.1.2 ॥' AS page_content, 2 AS layer""",
+    "keyword_queries": fact(r"""CASE WHEN length(CASE WHEN regexp_matches(subject, '[\x{0900}-\x{097F}]') THEN kept ELSE plain END) < 2 THEN subject WHEN regexp_matches(subject, '[\x{0900}-\x{097F}]') THEN kept ELSE plain END""").replace(
+        "FROM kg_seed WHERE subject IS NOT NULL",
+        r"FROM (SELECT *, trim(regexp_replace(strip_accents(kept), '[^\p{L}\p{N}_\s\x{0B}\[\]\-]', '', 'g'), ' ') AS plain FROM (SELECT *, trim(array_to_string(list_filter(regexp_extract_all(subject, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+'), lambda w: NOT list_contains(["
+        + lst("summarize explain describe tell about what who when where why how is are the a an in on at for".split())
+        + r"], lower(w))), ''), ' ') AS kept FROM kg_seed WHERE subject IS NOT NULL))",
+    ),
+    "model_terms": fact(
+        "array_to_string((SELECT list_filter(t, lambda x, i: x <> '' AND length(x) <= 30 AND list_position(t, x) = i) FROM (SELECT list_transform(list_filter(list_transform(regexp_split_to_array(subject, '[,\n;]+'), lambda x: trim(x, ' ')), "
+        "lambda x: x <> '')[:20], lambda x: regexp_replace(regexp_replace(x, '[^A-Za-zāīūṛṝḷḹṃḥśṣṭḍṇñṅ-]', '', 'g'), '^-+|-+$', '', 'g')) AS t)), '|')"
+    ),
+    "noun_expansion": f"""
+WITH r AS (SELECT * FROM {ranked_sql('river hymn singer altar the the', 40)}),
+f AS (SELECT 0 AS noun, * FROM {bm25_sql('Nubāḥ Nubāḥ.', 15)} UNION ALL SELECT 1, * FROM {bm25_sql('Gam Gam.', 15)} UNION ALL SELECT 2, * FROM {bm25_sql('nosuchnoun', 15)}),
+m AS (SELECT doc_id, min((noun, -score)) AS b FROM f WHERE doc_id NOT IN (SELECT doc_id FROM r) GROUP BY 1),
+k AS (SELECT doc_id, b FROM m QUALIFY row_number() OVER (PARTITION BY b[1] ORDER BY b, doc_id) = 1)
+SELECT doc_id, pos FROM r WHERE pos < 15 UNION ALL SELECT doc_id, row_number() OVER (ORDER BY b) + 14 FROM k""",
+    "kg_question_context": f"""
+WITH RECURSIVE e AS (SELECT * FROM {EDGES}), g AS (SELECT DISTINCT replace(strip_accents(lower(subject)), '-', '') AS key FROM e WHERE NOT regexp_matches(subject, '\\s')),
+w AS (SELECT DISTINCT fact_id, unnest(regexp_extract_all(object, '\\p{{L}}[\\p{{L}}\\p{{M}}-]{{2,}}')) AS w FROM kg_seed WHERE object IS NOT NULL AND fact_id % 20 = 0),
+f AS (SELECT DISTINCT fact_id, {KEY.format('w')} AS k FROM w WHERE replace(strip_accents(lower(w)), '-', '') IN (SELECT key FROM g)),
+h AS (SELECT fact_id, e.subject_key, e.relation, e.object_key, 1 AS hop FROM f JOIN e ON e.subject_key = k
+  UNION SELECT fact_id, e.subject_key, e.relation, e.object_key, hop + 1 FROM h JOIN e ON e.subject_key = h.object_key WHERE hop < 2)
+SELECT fact_id, subject_key, relation, object_key, min(hop) AS hop FROM h GROUP BY ALL""",
 }
