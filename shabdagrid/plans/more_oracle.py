@@ -41,7 +41,15 @@ t AS (SELECT section, string_agg(line, chr(10) ORDER BY no) AS t FROM l GROUP BY
 x AS (SELECT pos, left(string_agg('## ' || section || chr(10) || t, chr(10) || chr(10) ORDER BY i), 6000) AS whole FROM s JOIN t USING (section) GROUP BY pos)"""
 _topic_semantic, _topic_keyword = "offering to the river and the altar", "offering to  river and  altar"
 
+def all_vectors_sql(where: str = "true") -> str:
+    """The fifteen nearest of every twentieth vector."""
+    return f"""SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) - 1 AS pos FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND {where} QUALIFY pos < 15"""
+
+
 ORACLE |= {
+    "dense_topk_all": all_vectors_sql(),
+    "dense_topk_all_filtered": all_vectors_sql("v.label = 1"),
     "question_modes": doc(
         r"CASE WHEN regexp_matches(text, '(?i)(earlier|early|later|late|older|newer)[^.?]*\b(vedic|veda|period|layer|mandala|time)|evolv|over time|diachronic|through time|chronolog') THEN 'diachronic' "
         r"WHEN regexp_matches(text, '(?i)\b(which|what|where|list|all|every|how\s+many|find|show|give|tell|discuss|talk|about|search|name|enumerate|any)\b') "
