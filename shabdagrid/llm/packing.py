@@ -176,6 +176,8 @@ def fill(counts: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_S
     """Fillings and how often each is used, for a histogram of sizes from 1 to capacity."""
     best = best_fit(counts, capacity)
     used = sum(n for _, n in best)
+    if used * capacity - sum(s * n for s, n in counts.items()) < capacity:
+        return best  # less than one container's room is unused: the finer bound cannot ask for fewer
     least = lower_bound(counts, capacity)
     low, aim = least, least
     while low < used:  # the lower bound first, then between what is ruled out and the incumbent
