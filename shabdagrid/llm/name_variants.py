@@ -8,12 +8,14 @@ A name is parsed once per distinct spelling: titles, clans in brackets and place
 habits (long vowels, aspirates, w/v, sh/s, y/i, a final a) folded, the given name found in the list of given names and
 their short forms.  What is compared are distinct (given name, family form) pairs, never rows.
 
-- Full names and short names: candidates share the given name and a band.  In a bucket everyone is compared with its most used
-  form alone, so a bucket of any size costs one comparison a member.
+- Full names and short names: candidates share the given name and a band.  In a bucket of at most CROWD forms everyone is compared with
+  everyone.  The forms of larger buckets meet over what is left of them when as many letters are left out as may differ: all pairs
+  that agree meet there and few others, so such a bucket costs what its likenesses cost.  Forms too long for that are compared with their whole bucket.
 - A given name that the list does not have, or that is a typing error of several of its names, is tried with the centres of listed names
   whose family name agrees, and joins the one whose given name agrees best, if no second agrees as well.
 - Initials and cut-off family names are held against the centres of the stars and linked only if exactly one person fits; initials that fit
   nobody stand for one person of their own, those that fit several are left alone.
+- Who fits no centre, of these and of the given names before, is held against all other members of the stars in the same way.
 
 Defined results: null and blank names, and names without a family name, are linked with nothing.
 """
@@ -41,6 +43,8 @@ FINE_ROWS = 4  # rows of a band where only the family name's initial company nar
 AGREE = 0.89  # least Monge-Elkan similarity of (given name, family name)
 STRAY_AGREE = 0.85  # the same where the given name is not in the list and one person has to fit best
 PREFIX = 4
+CROWD = 8  # largest bucket in which all pairs are compared; beyond it letters left out cost less
+SPARED_MAX = 18  # longest form whose letters are left out: three of them, 988 forms
 LISTED_MAX = 200_000
 # Titles that are no part of a name.
 TITLES = set("king queen prince princess raja rani maharaja sri shri acharya maharshi rishi sage seer guru the".split())
@@ -120,6 +124,19 @@ def _shorter(t: str) -> set[str]:
     return {t[:i] + t[i + 1 :] for i in range(len(t))}
 
 
+def spared(form: str) -> set[str]:
+    """What is left of a form without any letters up to the number that may differ at AGREE.
+
+    Every change, swap, insertion or deletion is undone by leaving out one letter at most on either side, so two forms that agree
+    have something in common here.
+    """
+    out = last = {form}
+    for _ in range(math.floor((2 - 2 * AGREE) * len(form) + 1e-9)):
+        last = {d for t in last for d in _shorter(t)}
+        out = out | last
+    return out
+
+
 def _initial(t: str) -> str:
     """The first letter as it is typed in an abbreviation."""
     return unicodedata.normalize("NFD", t.lower())[:1].replace("w", "v")
@@ -249,15 +266,58 @@ def agreeing(pairs: DataFrame) -> DataFrame:
     return spread(near.distinct()).withColumn("sim", _agreement.asNondeterministic()(given, "family", given, "other")).where(F.col("sim") >= AGREE)
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _spared(family: pd.Series) -> pd.Series:
+    return pd.Series([[zlib.crc32(t.encode()) for t in spared(f)] for f in family])
+
+
+def candidates(scratch: Scratch, forms: DataFrame) -> DataFrame:
+    """pairs(v, given, family, w, other), each in one direction and possibly repeated, of forms(v, given, family, bands) that share given name and band."""
+    h = F.posexplode("bands").alias("band", "h")
+    shared = with_group(forms.select("v", "given", "family", h), ["given", "band", "h"], "v", {}, at_least=2)
+    shared = scratch.cut(shared.select("v", "given", "family", "band", "h", "group_rows"))
+    left = lambda df: df.select("v", "given", "family", "band", "h")
+    right = lambda df: df.select("given", F.col("v").alias("w"), F.col("family").alias("other"), "band", "h")
+    few, many = shared.where(F.col("group_rows") <= CROWD), shared.where(F.col("group_rows") > CROWD)
+    columns = ["v", "given", "family", "w", "other"]
+    pairs = left(few).join(right(few), ["given", "band", "h"]).where("v < w").select(columns)
+    if many.isEmpty():
+        return pairs
+    crowd = scratch.cut(many.select("v", "given", "family").distinct())
+    letters = spread(crowd.where(F.length("family") <= SPARED_MAX)).withColumn("k", _spared.asNondeterministic()("family"))
+    keyed = scratch.cut(letters.select("v", "given", "family", F.explode("k").alias("k")))
+    others = keyed.select("given", F.col("v").alias("w"), F.col("family").alias("other"), "k")
+    pairs = pairs.unionByName(keyed.join(others, ["given", "k"]).where("v < w").select(columns))
+    long = left(many.where(F.length("family") > SPARED_MAX)).join(right(many), ["given", "band", "h"]).where(F.col("v") != F.col("w"))
+    once = (F.length("other") <= SPARED_MAX) | (F.col("v") < F.col("w"))
+    return pairs.unionByName(long.where(once).select(columns))
+
+
+def _tried(sought: DataFrame, people: DataFrame) -> DataFrame:
+    """Pairs of sought(initial, family, stray, fine) and people(initial, family, given, star, fine) that share initial and a fine band."""
+    a = sought.select("initial", "family", "stray", F.posexplode("fine").alias("band", "h"))
+    b = people.select("initial", F.col("family").alias("other"), "given", "star", F.posexplode("fine").alias("band", "h"))
+    # Most pairs of a band do not agree: a plain distance wider than either test allows rules them out before they are shuffled once more.
+    n = F.greatest(F.length("family"), F.length("other"))
+    near = (F.levenshtein("family", "other") <= 2 * F.greatest(F.lit(1), F.floor(n / 4))) | (n > 40)
+    return a.join(b, ["initial", "band", "h"]).where(near).select("stray", "initial", "family", "other", "star", "given").distinct()
+
+
+def _of_initials(tried: DataFrame) -> DataFrame:
+    """(initial, family, s, t): smallest and largest person that fits."""
+    fits = agreeing(tried.where("stray is null").drop("stray"))
+    return fits.groupBy("initial", "family").agg(F.min("star").alias("s"), F.max("star").alias("t"))
+
+
 def _best_of_strays(tried: DataFrame) -> DataFrame:
-    """(stray, form, home): the person of every stray given name with a family form; none where two persons agree equally well."""
+    """(stray, form, home): the person of every stray given name with a family form that fits; null where two persons agree equally well."""
     n, m = F.greatest(F.length("family"), F.length("other")), F.greatest(F.length("stray"), F.length("given"))
     near = tried.where((F.levenshtein("stray", "given") <= 2 * F.greatest(F.lit(1), F.floor(m / 4))) & (F.levenshtein("family", "other") <= 2 * F.greatest(F.lit(1), F.floor(n / 4))))
     sim = near.withColumn("sim", _agreement.asNondeterministic()("stray", "family", "given", "other")).where(F.col("sim") >= STRAY_AGREE)
     best = sim.groupBy("stray", "family", "star").agg(F.max("sim").alias("sim"))
     top = best.groupBy("stray", "family").agg(F.max("sim").alias("top"))
     same = best.join(top, ["stray", "family"]).where("sim = top").groupBy("stray", "family").agg(F.min("star").alias("home"), F.count(F.lit(1)).alias("k"))
-    return same.where("k = 1").select("stray", F.col("family").alias("form"), "home")
+    return same.select("stray", F.col("family").alias("form"), F.when(F.col("k") == 1, F.col("home")).alias("home"))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -273,6 +333,18 @@ def _heads(form: Column, shorter: bool) -> Column:
     return F.array_distinct(F.array_compact(F.array(head, *less, *few)))
 
 
+def _of_cut(cut: DataFrame, people: DataFrame) -> DataFrame:
+    """(given, family, s, t): smallest and largest person whose family name begins like a cut-off one; k are its heads."""
+    heads = people.select("given", F.col("family").alias("other"), "star", F.explode(_heads(F.col("family"), True)).alias("k"))
+    met = cut.select("given", "family", F.explode("k").alias("k")).distinct().join(heads, ["given", "k"])
+    # a swap of neighbours is two plain edits
+    close = met.where(F.levenshtein("family", F.substring(F.col("other"), F.lit(1), F.length("family")), 2) >= 0).select("given", "family", "other", "star").distinct()
+    begun = close.withColumn("_b", _begins.asNondeterministic()("family", "other")).where("_b").withColumn("_x", F.col("other").startswith(F.col("family")))
+    # who fits without a typo goes before who fits with one
+    first = begun.groupBy("given", "family", "_x").agg(F.min("star").alias("s"), F.max("star").alias("t"))
+    return first.groupBy("given", "family").agg(F.max_by(F.struct("s", "t"), "_x").alias("f")).select("given", "family", "f.s", "f.t")
+
+
 def star_clusters(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, star): greedy star clustering of nodes(v, weight) by edges(a, b, sim).
 
@@ -308,38 +380,30 @@ def link_names(names: DataFrame, proper_nouns: DataFrame) -> DataFrame:
     key = F.concat_ws(" ", "given", "family")
     whole = parsed.where("given is not null and not cut").withColumn("v", key)
     forms = scratch.cut(whole.groupBy("v", "given", "initial", "family").agg(F.sum("uses").alias("weight"), F.max("listed").alias("listed"), F.first("bands").alias("bands"), F.first("fine").alias("fine")))
-    buckets = forms.select("v", "given", "family", "weight", F.posexplode("bands").alias("band", "h"))
-    centred = with_group(buckets, ["given", "band", "h"], "v", {"top": (F.struct("weight", "v", "family"), "max")}, at_least=2)
-    pairs = centred.where(F.col("v") != F.col("top.v")).select("v", "given", "family", F.col("top.v").alias("w"), F.col("top.family").alias("other"))
+    pairs = candidates(scratch, forms)
     edges = agreeing(pairs)
     stars = star_clusters(scratch, forms.select("v", "weight"), scratch.cut(edges.select(F.col("v").alias("a"), F.col("w").alias("b"), "sim")))
-    every = scratch.cut(forms.join(stars.where("v = star").select("v"), "v").select(F.col("v").alias("star"), "given", "initial", "family", "listed", "fine"))
+    star_of = forms.join(stars, "v")
+    every = scratch.cut(star_of.where("v = star").select("star", "given", "initial", "family", "listed", "fine"))
     centres, strays = every.where("listed"), every.where("not listed")
+    members = star_of.where("v != star").drop("listed").join(centres.select("star"), "star").select("star", "given", "initial", "family", "fine")
 
     initials = parsed.where("given is null").groupBy("initial", "family").agg(F.first("fine").alias("fine"))
     sought = initials.select("initial", "family", F.lit(None).cast("string").alias("stray"), "fine").unionByName(strays.select("initial", "family", F.col("given").alias("stray"), "fine"))
-    a = sought.select("initial", "family", "stray", F.posexplode("fine").alias("band", "h"))
-    b = centres.select("initial", F.col("family").alias("other"), "given", "star", F.posexplode("fine").alias("band", "h"))
-    # Most pairs of a band do not agree: a plain distance wider than either test allows rules them out before they are shuffled once more.
-    n = F.greatest(F.length("family"), F.length("other"))
-    near = (F.levenshtein("family", "other") <= 2 * F.greatest(F.lit(1), F.floor(n / 4))) | (n > 40)
-    tried = scratch.cut(a.join(b, ["initial", "band", "h"]).where(near).select("stray", "initial", "family", "other", "star", "given").distinct())
-    person_of = _best_of_strays(tried.where("stray is not null"))
-    fits = agreeing(tried.where("stray is null").drop("stray"))
-    of_initial = fits.groupBy("initial", "family").agg(F.min("star").alias("s"), F.max("star").alias("t"))
+    tried = scratch.cut(_tried(sought, centres))
+    person_of, of_initial = scratch.cut(_best_of_strays(tried.where("stray is not null"))), scratch.cut(_of_initials(tried))
+    fitted = of_initial.select("initial", "family", F.lit(None).cast("string").alias("stray")).unionByName(strays.join(person_of, (F.col("given") == F.col("stray")) & (F.col("family") == F.col("form"))).select("initial", "family", "stray"))
+    same = "l.initial <=> r.initial and l.family = r.family and l.stray <=> r.stray"
+    alone = scratch.cut(sought.alias("l").join(fitted.alias("r"), F.expr(same), "left_anti"))
+    again = scratch.cut(_tried(alone, members))
+    person_of, of_initial = person_of.unionByName(_best_of_strays(again.where("stray is not null"))), of_initial.unionByName(_of_initials(again))
     own = F.concat(F.lit("."), "initial", F.lit(" "), "family")
     person = F.when(F.col("s").isNull(), own).when(F.col("s") == F.col("t"), F.col("s"))
     by_initial = parsed.where("given is null").join(of_initial, ["initial", "family"], "left").select("name", person.alias("person"))
 
     cut = parsed.where("given is not null and cut").withColumn("k", F.when(F.length("family") < PREFIX, F.array(F.concat(F.lit("."), "family"))).otherwise(_heads(F.col("family"), False)))
-    heads = centres.select("given", F.col("family").alias("other"), "star", F.explode(_heads(F.col("family"), True)).alias("k"))
-    met = cut.select("given", "family", F.explode("k").alias("k")).distinct().join(heads, ["given", "k"])
-    # a swap of neighbours is two plain edits
-    close = met.where(F.levenshtein("family", F.substring(F.col("other"), F.lit(1), F.length("family")), 2) >= 0).select("given", "family", "other", "star").distinct()
-    begun = close.withColumn("_b", _begins.asNondeterministic()("family", "other")).where("_b").withColumn("_x", F.col("other").startswith(F.col("family")))
-    # who fits without a typo goes before who fits with one
-    first = begun.groupBy("given", "family", "_x").agg(F.min("star").alias("s"), F.max("star").alias("t"))
-    of_cut = first.groupBy("given", "family").agg(F.max_by(F.struct("s", "t"), "_x").alias("f")).select("given", "family", "f.s", "f.t")
+    of_cut = scratch.cut(_of_cut(cut, centres))
+    of_cut = of_cut.unionByName(_of_cut(cut.join(of_cut, ["given", "family"], "left_anti"), members))
     by_cut = cut.join(of_cut, ["given", "family"], "left").select("name", F.when(F.col("s").isNull(), F.concat(key, F.lit("."))).when(F.col("s") == F.col("t"), F.col("s")).alias("person"))
 
     homes = strays.join(person_of, (strays["given"] == person_of["stray"]) & (strays["family"] == person_of["form"])).select("star", "home")
